@@ -54,7 +54,7 @@ def rounded(df: DataFrame, places: int = 6, **special: int) -> DataFrame:
 
     def column(name: str, kind: str) -> Column:
         if kind == "double" or kind.startswith("decimal"):
-            digits = special.get(name, places)
+            digits = special.get(name, special.get(name.split("_")[0], places))
             # Adding 0 turns a negative zero into a plain one.
             return (F.round(F.col(name).cast("double"), digits) + 0.0).alias(name)
         return F.col(name)
@@ -219,14 +219,14 @@ def classify_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 def period_region_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     combined = combine_measures(Trial(spark, sf_dir).all_measures())
     totals = trial.period_totals(combined, t.PERIODS, ["pct_id"])
-    return rounded(totals.withColumn("rate", ratio("cost", "denominator")), cost=4)
+    return rounded(totals.withColumn("rate", ratio("cost", "denominator")), cost=4, denominator=8)
 
 
 def period_measure_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = trial.period_totals(
         Trial(spark, sf_dir).all_measures(), t.PERIODS, ["pct_id", "measure"]
     )
-    return rounded(totals.withColumn("rate", ratio("cost", "denominator")), cost=4)
+    return rounded(totals.withColumn("rate", ratio("cost", "denominator")), cost=4, denominator=8)
 
 
 # --- clusters, ranks, allocation ----------------------------------------------------
@@ -331,7 +331,7 @@ def trial_practices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def period_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(Trial(spark, sf_dir).outcomes, cost_baseline=4, cost_follow_up=4)
+    return rounded(Trial(spark, sf_dir).outcomes, cost=4, denominator=8)
 
 
 def arm_summary_change(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,7 +358,7 @@ def top3_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def top3_per_cluster_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = trial.top_measures(Trial(spark, sf_dir).outcomes_by_measure)
-    return rounded(top, cost_baseline=4, cost_follow_up=4)
+    return rounded(top, cost=4, denominator=8)
 
 
 def nested_avg_population(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -564,11 +564,11 @@ def event_org_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matched_pair_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(Trial(spark, sf_dir).units, 2)
+    return rounded(Trial(spark, sf_dir).units, 2, list=7)
 
 
 def event_window_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(Trial(spark, sf_dir).page_view_grid, 2)
+    return rounded(Trial(spark, sf_dir).page_view_grid, list=7)
 
 
 def event_window_views_keep_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -581,7 +581,7 @@ def event_window_views_keep_empty(spark: SparkSession, sf_dir: str) -> DataFrame
         t.PAGE_WINDOW,
         keep_empty=True,
     )
-    return rounded(grid, 2)
+    return rounded(grid, list=7)
 
 
 def event_window_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructType
 
 _log_gamma = np.vectorize(math.lgamma, otypes=[float])
 
@@ -59,45 +59,44 @@ def f_upper(f: np.ndarray, df1: np.ndarray, df2: np.ndarray) -> np.ndarray:
 
 
 def t_quantile(level: float, df: np.ndarray) -> np.ndarray:
-    """The t with ``level`` of the distribution between -t and t, by bisection."""
+    """The t with ``level`` of the distribution between -t and t.
+
+    That share is concave in t, so Newton steps from 0 approach it from the left.
+    """
     df = np.asarray(df, dtype=float)
-    low, high = np.zeros_like(df), np.full_like(df, 1e8)
+    peak = np.exp(_log_gamma((df + 1) / 2) - _log_gamma(df / 2)) / np.sqrt(df * math.pi)
+    t = np.zeros_like(df)
     for _ in range(200):
-        middle = (low + high) / 2
-        inside = 1 - t_two_sided(middle, df) < level
-        low, high = np.where(inside, middle, low), np.where(inside, high, middle)
-    return (low + high) / 2
+        density = peak * (1 + t * t / df) ** (-(df + 1) / 2)
+        step = (level - (1 - t_two_sided(t, df))) / (2 * density)
+        t = t + step
+        if np.all(np.abs(step) <= 1e-14 * np.maximum(t, 1)):
+            break
+    return t
 
 
-def _known(*columns: pd.Series) -> pd.Series:
-    ok = pd.Series(True, index=columns[0].index)
-    for column in columns:
-        ok &= column.notna() & np.isfinite(column.astype(float))
-    return ok
+def _known(*columns: pd.Series) -> np.ndarray:
+    """Rows where every column is a finite number."""
+    return np.logical_and.reduce([np.isfinite(c.to_numpy(float)) for c in columns])
 
 
-@F.pandas_udf(DoubleType())
-def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
-    ok = _known(t, df) & (df > 0)
-    result = pd.Series(np.nan, index=t.index).astype(object)
-    if ok.any():
-        result[ok] = t_two_sided(t[ok].to_numpy(float), df[ok].to_numpy(float))
-    return result.where(ok, None)
+def _where(ok: np.ndarray, values: np.ndarray) -> pd.Series:
+    result = pd.Series(None, index=range(len(ok)), dtype=object)
+    result[ok] = values
+    return result
 
 
 @F.pandas_udf(DoubleType())
 def f_p_value(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
-    ok = _known(f, df1, df2) & (df2 > 0)
-    result = pd.Series(np.nan, index=f.index).astype(object)
-    if ok.any():
-        result[ok] = f_upper(*(c[ok].to_numpy(float) for c in (f, df1, df2)))
-    return result.where(ok, None)
-
-
-@F.pandas_udf(DoubleType())
-def t_critical(level: pd.Series, df: pd.Series) -> pd.Series:
-    ok = _known(df) & (df > 0)
-    result = pd.Series(np.nan, index=df.index).astype(object)
-    if ok.any():
-        result[ok] = t_quantile(float(level.iloc[0]), df[ok].to_numpy(float))
-    return result.where(ok, None)
+    ok = _known(f, df1, df2) & (df2.to_numpy(float) > 0)
+    return _where(ok, f_upper(*(c.to_numpy(float)[ok] for c in (f, df1, df2))))
+
+
+@F.pandas_udf(StructType().add("p_value", DoubleType()).add("critical", DoubleType()))
+def t_tail(t: pd.Series, df: pd.Series, level: pd.Series) -> pd.DataFrame:
+    """Two-sided p-value of t, and the critical t of the confidence level."""
+    ok = _known(t, df) & (df.to_numpy(float) > 0)
+    freedom = df.to_numpy(float)[ok]
+    p_values = t_two_sided(t.to_numpy(float)[ok], freedom)
+    critical = t_quantile(float(level.iloc[0]), freedom) if ok.any() else freedom
+    return pd.DataFrame({"p_value": _where(ok, p_values), "critical": _where(ok, critical)})

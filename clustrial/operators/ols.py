@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import cached_property
 from itertools import combinations_with_replacement
-from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -13,15 +14,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clustrial.functions import has_keys
-from clustrial.functions.tails import f_p_value, t_critical, t_p_value
+from clustrial.functions.tails import f_p_value, t_tail
 from clustrial.sources.tables import SLICE, store, store_in_slices
 
 
-class OlsFit(NamedTuple):
-    """One row per term, and one row per model, for each group."""
+@dataclass(frozen=True)
+class OlsFit:
+    """A fit per group; the two result frames are planned when asked for."""
 
-    coefficients: DataFrame
-    model: DataFrame
+    fits: DataFrame
+    x: Sequence[str]
+    by: Sequence[str]
+    confidence: float
+
+    @cached_property
+    def coefficients(self) -> DataFrame:
+        """One row per term: estimate, standard error, t, p and confidence interval."""
+        return _coefficients(self.fits, self.x, self.by, self.confidence)
+
+    @cached_property
+    def model(self) -> DataFrame:
+        """One row per model: fit, information criteria and residual tests."""
+        return _model(self.fits, self.by, len(self.x))
 
 
 def _moments(rows: DataFrame, variables: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -228,18 +242,16 @@ def _coefficients(
         .withColumn("t", F.try_divide("coef", "std_err"))
     )
     df_resid = F.col("df_resid").cast("double")
-    long = long.withColumn("p_value", t_p_value("t", df_resid)).withColumn(
-        "reach", t_critical(F.lit(confidence), df_resid) * F.col("std_err")
-    )
-    return long.select(
+    reach = F.col("tail.critical") * F.col("std_err")
+    return long.withColumn("tail", t_tail("t", df_resid, F.lit(confidence))).select(
         *by,
         "term",
         "coef",
         "std_err",
         "t",
-        "p_value",
-        (F.col("coef") - F.col("reach")).alias("ci_low"),
-        (F.col("coef") + F.col("reach")).alias("ci_high"),
+        F.col("tail.p_value").alias("p_value"),
+        (F.col("coef") - reach).alias("ci_low"),
+        (F.col("coef") + reach).alias("ci_high"),
     )
 
 
@@ -295,7 +307,7 @@ def fit_ols(
     fits = fits.withColumns(
         {"df_resid": F.greatest(F.col("n") - (len(x) + 1), F.lit(0)), "sse": F.col("e2")}
     )
-    return OlsFit(_coefficients(fits, x, by, confidence), _model(fits, by, len(x)))
+    return OlsFit(fits, x, by, confidence)
 
 
 def _constants(solved: DataFrame) -> dict[str, Column]:
