@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import glob
 import os
+import sys
 
 import duckdb
 import pandas as pd
@@ -47,3 +48,23 @@ def difference(df, con: duckdb.DuckDBPyConnection, sql: str) -> str | None:
         if a is not None and type(a) is not type(b)
     ]
     return f"types {types[0]}" if types else None
+
+
+def main(sf_dir: str, names: list[str]) -> int:
+    """Compare the named queries, or all, and print one line for each."""
+    from clustrial.checks.oracles import ORACLES
+    from clustrial.checks.queries import QUERIES
+    from clustrial.session import local_session
+
+    spark, con, failed = local_session("compare"), connect(sf_dir), 0
+    for name in names or QUERIES:
+        found = difference(QUERIES[name](spark, sf_dir), con, ORACLES[name])
+        failed += found is not None
+        print(f"{name:32s} {found or 'same'}"[:600], flush=True)
+    spark.stop()
+    print(f"{failed} different")
+    return failed
+
+
+if __name__ == "__main__":
+    sys.exit(main(sys.argv[1], sys.argv[2:]))

@@ -334,16 +334,17 @@ def ols_pieces(source: str, y: str, x: Sequence[str], by: str = "") -> list[tupl
         f"SELECT ols_in.*, v0 - (m0 - {fitted} + {predicted}) AS e FROM ols_in {join}"
     )
     sse_join = f"JOIN ols_sse USING ({by})" if by else "CROSS JOIN ols_sse"
+    sse = "CASE WHEN s_0_0 = 0 OR raw <= 1e-24 * s_0_0 * (n - 1) THEN 0 ELSE raw END"
     fit = (
-        f"SELECT *, m0 - {fitted} AS b0, n - {k + 1} AS df, sse / (n - {k + 1}) AS s2 "
-        f"FROM ols_solved {sse_join}"
+        f"SELECT *, m0 - {fitted} AS b0, n - {k + 1} AS df, {sse} AS sse, "
+        f"({sse}) / (n - {k + 1}) AS s2 FROM ols_solved {sse_join}"
     )
     return [
         ("ols_in", rows),
         ("ols_moments", moments),
         ("ols_solved", solved),
         ("ols_errors", errors),
-        ("ols_sse", f"SELECT {group}sum(e * e) AS sse FROM ols_errors {grouping}"),
+        ("ols_sse", f"SELECT {group}sum(e * e) AS raw FROM ols_errors {grouping}"),
         ("ols_fit", fit),
     ]
 

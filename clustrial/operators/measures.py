@@ -20,6 +20,8 @@ def explode_measures(df: DataFrame, registry: Mapping[str, str]) -> DataFrame:
     is dropped. Where the predicates only look at a code, apply this to the table
     of codes and join the fact to the result, so that predicates run once per code.
     """
+    # Stated as one filter too, so that a short registry reaches the scan.
+    df = df.where(F.expr(" OR ".join(f"({rule})" for rule in registry.values())))
     matches = F.array(*[F.when(F.expr(rule), F.lit(name)) for name, rule in registry.items()])
     return df.withColumn("measure", F.explode(matches)).where(F.col("measure").isNotNull())
 

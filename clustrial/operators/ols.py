@@ -304,8 +304,13 @@ def fit_ols(
         solved = _constants(solved)
         sums = _residual_sums(rows, solved, "y", names[1:], by, bool(order_by))
         fits = sums.withColumns(solved)
+    # A constant response, or residuals of rounding size, count as an exact fit.
+    exact = (F.col("sst") == 0) | (F.col("e2") <= 1e-24 * F.col("sst"))
     fits = fits.withColumns(
-        {"df_resid": F.greatest(F.col("n") - (len(x) + 1), F.lit(0)), "sse": F.col("e2")}
+        {
+            "df_resid": F.greatest(F.col("n") - (len(x) + 1), F.lit(0)),
+            "sse": F.when(exact, 0.0).otherwise(F.col("e2")),
+        }
     )
     return OlsFit(fits, x, by, confidence)
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from clustrial.functions import cap_at, has_keys
 from clustrial.operators.positions import quantiles
-from clustrial.sources.tables import store
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
@@ -29,7 +28,7 @@ def describe(
     accuracy: int | None = None,
 ) -> DataFrame:
     """Count, mean, sample SD, minimum, quantiles and maximum; one row per column."""
-    values = store(_melt(df, columns), "described")
+    values = _melt(df, columns)
     moments = values.groupBy("variable").agg(
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),
