@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clustrial.functions import has_keys
-from clustrial.functions.tails import f_p_value, t_tail
+from clustrial.functions.tails import f_upper, t_quantile, t_two_sided
 from clustrial.sources.tables import SLICE, store, store_in_slices
 
 
@@ -30,12 +30,22 @@ class OlsFit:
     @cached_property
     def coefficients(self) -> DataFrame:
         """One row per term: estimate, standard error, t, p and confidence interval."""
-        return _coefficients(self.fits, self.x, self.by, self.confidence)
+        by, terms, confidence = list(self.by), ["Intercept", *self.x], self.confidence
+        return self.fits.mapInPandas(
+            lambda batches: _term_rows(batches, by, terms, confidence), self._schema(TERM_FIELDS)
+        )
 
     @cached_property
     def model(self) -> DataFrame:
         """One row per model: fit, information criteria and residual tests."""
-        return _model(self.fits, self.by, len(self.x))
+        by, k = list(self.by), len(self.x)
+        return self.fits.mapInPandas(
+            lambda batches: _model_rows(batches, by, k), self._schema(MODEL_FIELDS)
+        )
+
+    def _schema(self, fields: str) -> str:
+        kinds = dict(self.fits.dtypes)
+        return ", ".join([*[f"`{name}` {kinds[name]}" for name in self.by], fields])
 
 
 def _moments(rows: DataFrame, variables: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -85,6 +95,11 @@ def _solve(n: int, means: np.ndarray, packed: np.ndarray) -> tuple:
     return coef.tolist(), diagonal.tolist(), condition, total
 
 
+SOLVED_FIELDS = (
+    "n BIGINT, coef ARRAY<DOUBLE>, diagonal ARRAY<DOUBLE>, cond_no DOUBLE, sst DOUBLE"
+)
+
+
 def _solve_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         solved = [
@@ -137,122 +152,139 @@ def _residual_sums(
     )
 
 
-def _skew_z(n: Column, skew: Column) -> Column:
+def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a / b, missing where b is 0."""
+    return np.divide(a, b, out=np.full(np.shape(b), np.nan), where=np.asarray(b) != 0)
+
+
+def _skew_score(n: np.ndarray, skew: np.ndarray) -> np.ndarray:
     """Normal score of a sample skewness."""
-    y = skew * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
+    y = skew * np.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
     b = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3)
     b = b / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
-    w2 = F.sqrt(2 * (b - 1)) - 1
-    return F.asinh(y / F.sqrt(2 / (w2 - 1))) / F.sqrt(0.5 * F.log(w2))
+    w2 = np.sqrt(2 * (b - 1)) - 1
+    return np.arcsinh(y / np.sqrt(2 / (w2 - 1))) / np.sqrt(0.5 * np.log(w2))
 
 
-def _kurtosis_z(n: Column, kurtosis: Column) -> Column:
+def _kurtosis_score(n: np.ndarray, kurtosis: np.ndarray) -> np.ndarray:
     """Normal score of a sample kurtosis (3 for the normal distribution)."""
-    spread = 24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))
-    x = (kurtosis - 3 * (n - 1) / (n + 1)) / F.sqrt(spread)
+    spread = 24 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5))
+    x = (kurtosis - 3 * (n - 1) / (n + 1)) / np.sqrt(spread)
     s = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9))
-    s = s * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
-    a = 6 + (8 / s) * (2 / s + F.sqrt(1 + 4 / (s * s)))
-    d = 1 + x * F.sqrt(2 / (a - 4))
-    root = F.signum(d) * F.pow(F.try_divide(1 - 2 / a, F.abs(d)), F.lit(1 / 3))
-    return (1 - 2 / (9 * a) - root) / F.sqrt(2 / (9 * a))
-
-
-def _model(fits: DataFrame, by: Sequence[str], k: int) -> DataFrame:
-    n = F.col("n").cast("double")
-    df_resid = F.col("df_resid")
-    fits = fits.withColumn("r2", 1 - F.try_divide("sse", "sst")).withColumns(
-        {
-            "adj_r2": 1 - F.try_divide((1 - F.col("r2")) * (n - 1), df_resid),
-            "f": F.try_divide(
-                F.col("r2") / k, F.try_divide(1 - F.col("r2"), df_resid)
-            ),
-            "llf": F.when(
-                F.col("sse") > 0,
-                -n / 2 * (math.log(2 * math.pi) + F.log(F.col("sse") / n) + 1),
-            ),
-            # Central moments from power sums; the mean residual is 0 up to rounding.
-            "m1": F.col("e1") / n,
-        }
-    )
-    m1, e2, e3 = F.col("m1"), F.col("e2"), F.col("e3")
-    m2 = e2 / n - m1 * m1
-    m3 = e3 / n - 3 * m1 * e2 / n + 2 * m1 * m1 * m1
-    m4 = F.col("e4") / n - 4 * m1 * e3 / n + 6 * m1 * m1 * e2 / n - 3 * F.pow(m1, F.lit(4))
-    fits = fits.withColumns(
-        {
-            "skew": F.try_divide(m3, F.pow(m2, F.lit(1.5))),
-            "kurtosis": F.try_divide(m4, m2 * m2),
-        }
-    )
-    z = F.when(
-        F.col("n") >= 8,
-        F.pow(_skew_z(n, F.col("skew")), F.lit(2)) + F.pow(_kurtosis_z(n, F.col("kurtosis")), F.lit(2)),
-    )
-    excess = F.col("kurtosis") - 3
-    fits = fits.withColumns(
-        {
-            "omnibus": z,
-            "jb": n / 6 * (F.col("skew") * F.col("skew") + excess * excess / 4),
-        }
-    )
-    return fits.select(
-        *by,
-        "n",
-        F.lit(k).alias("df_model"),
-        "df_resid",
-        "r2",
-        "adj_r2",
-        "f",
-        f_p_value("f", F.lit(float(k)), df_resid.cast("double")).alias("f_pvalue"),
-        "llf",
-        (-2 * F.col("llf") + 2 * (k + 1)).alias("aic"),
-        (-2 * F.col("llf") + (k + 1) * F.log(n)).alias("bic"),
-        "omnibus",
-        F.exp(-F.col("omnibus") / 2).alias("omnibus_p"),
-        "skew",
-        "kurtosis",
-        "jb",
-        F.exp(-F.col("jb") / 2).alias("jb_p"),
-        F.try_divide("steps", "e2").alias("durbin_watson"),
-        "cond_no",
-    )
+    s = s * np.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
+    a = 6 + (8 / s) * (2 / s + np.sqrt(1 + 4 / (s * s)))
+    d = 1 + x * np.sqrt(2 / (a - 4))
+    root = np.sign(d) * _quotient(1 - 2 / a, np.abs(d)) ** (1 / 3)
+    return (1 - 2 / (9 * a) - root) / np.sqrt(2 / (9 * a))
+
+
+# The fields of the regression summary.
+MODEL_FIELDS = (
+    "n BIGINT, df_model INT, df_resid BIGINT, r2 DOUBLE, adj_r2 DOUBLE, f DOUBLE, "
+    "f_pvalue DOUBLE, llf DOUBLE, aic DOUBLE, bic DOUBLE, omnibus DOUBLE, omnibus_p DOUBLE, "
+    "skew DOUBLE, kurtosis DOUBLE, jb DOUBLE, jb_p DOUBLE, durbin_watson DOUBLE, cond_no DOUBLE"
+)
+TERM_FIELDS = (
+    "term STRING, coef DOUBLE, std_err DOUBLE, t DOUBLE, p_value DOUBLE, "
+    "ci_low DOUBLE, ci_high DOUBLE"
+)
+
+
+def _finite(columns: dict[str, np.ndarray], index: pd.Index) -> pd.DataFrame:
+    frame = pd.DataFrame(columns, index=index)
+    numbers = frame.select_dtypes("float").columns
+    frame[numbers] = frame[numbers].where(np.isfinite(frame[numbers]))
+    return frame
+
+
+def _numbers(batch: pd.DataFrame) -> dict[str, np.ndarray]:
+    """The one-row-per-group inputs as floats, with an exact fit's residuals set to 0."""
+    kept = ("n", "sst", "e1", "e2", "e3", "e4", "steps", "cond_no")
+    v = {name: pd.to_numeric(batch[name]).to_numpy(float) for name in kept}
+    # A constant response, or residuals of rounding size, count as an exact fit.
+    exact = (v["sst"] == 0) | (v["e2"] <= 1e-24 * v["sst"])
+    v["sse"] = np.where(exact, 0.0, v["e2"])
+    return v
 
 
-def _coefficients(
-    fits: DataFrame, x: Sequence[str], by: Sequence[str], confidence: float
-) -> DataFrame:
-    terms = F.array(*[F.lit(t) for t in ("Intercept", *x)])
-    blank = F.array_repeat(F.lit(None).cast("double"), len(x) + 1)
-    long = (
-        fits.withColumn("residual_variance", F.try_divide("sse", "df_resid"))
-        .select(
-            *by,
-            "df_resid",
-            "residual_variance",
-            F.inline(
-                F.arrays_zip(
-                    terms.alias("term"),
-                    F.coalesce("coef", blank).alias("coef"),
-                    F.coalesce("diagonal", blank).alias("diagonal"),
-                )
-            ).alias("term", "coef", "diagonal"),
+def _model_rows(batches: Iterator[pd.DataFrame], by: Sequence[str], k: int):
+    for batch in batches:
+        v = _numbers(batch)
+        n, sse, sst = v["n"], v["sse"], v["sst"]
+        df = np.maximum(n - (k + 1), 0)
+        with np.errstate(all="ignore"):
+            r2 = 1 - _quotient(sse, sst)
+            f = _quotient(r2 / k, _quotient(1 - r2, df))
+            llf = np.where(sse > 0, -n / 2 * (math.log(2 * math.pi) + np.log(sse / n) + 1), np.nan)
+            # Central moments from power sums; the mean residual is 0 up to rounding.
+            m1, e2, e3 = v["e1"] / n, v["e2"], v["e3"]
+            m2 = e2 / n - m1**2
+            m3 = e3 / n - 3 * m1 * e2 / n + 2 * m1**3
+            m4 = v["e4"] / n - 4 * m1 * e3 / n + 6 * m1**2 * e2 / n - 3 * m1**4
+            skew, kurtosis = _quotient(m3, m2**1.5), _quotient(m4, m2**2)
+            omnibus = _skew_score(n, skew) ** 2 + _kurtosis_score(n, kurtosis) ** 2
+            omnibus = np.where(n >= 8, omnibus, np.nan)
+            jb = n / 6 * (skew**2 + (kurtosis - 3) ** 2 / 4)
+            tested = np.isfinite(f) & (df > 0)
+            f_pvalue = np.full(len(n), np.nan)
+            f_pvalue[tested] = f_upper(f[tested], float(k), df[tested])
+            fields = {
+                "r2": r2,
+                "adj_r2": 1 - _quotient((1 - r2) * (n - 1), df),
+                "f": f,
+                "f_pvalue": f_pvalue,
+                "llf": llf,
+                "aic": -2 * llf + 2 * (k + 1),
+                "bic": -2 * llf + (k + 1) * np.log(n),
+                "omnibus": omnibus,
+                "omnibus_p": np.exp(-omnibus / 2),
+                "skew": skew,
+                "kurtosis": kurtosis,
+                "jb": jb,
+                "jb_p": np.exp(-jb / 2),
+                "durbin_watson": _quotient(v["steps"], e2),
+                "cond_no": v["cond_no"],
+            }
+        out = _finite(fields, batch.index)
+        out.insert(0, "n", batch["n"])
+        out.insert(1, "df_model", k)
+        out.insert(2, "df_resid", df.astype("int64"))
+        yield pd.concat([batch[list(by)], out], axis=1)
+
+
+def _term_rows(
+    batches: Iterator[pd.DataFrame], by: Sequence[str], terms: Sequence[str], confidence: float
+):
+    blank = [np.nan] * len(terms)
+    for batch in batches:
+        v = _numbers(batch)
+        df = np.maximum(v["n"] - len(terms), 0)
+        usable = [c is not None for c in batch["coef"]]
+        coef, diagonal = (
+            np.array([c if ok else blank for c, ok in zip(batch[name], usable)], dtype=float)
+            .reshape(len(batch), len(terms))
+            for name in ("coef", "diagonal")
         )
-        .withColumn("std_err", F.sqrt(F.col("residual_variance") * F.col("diagonal")))
-        .withColumn("t", F.try_divide("coef", "std_err"))
-    )
-    df_resid = F.col("df_resid").cast("double")
-    reach = F.col("tail.critical") * F.col("std_err")
-    return long.withColumn("tail", t_tail("t", df_resid, F.lit(confidence))).select(
-        *by,
-        "term",
-        "coef",
-        "std_err",
-        "t",
-        F.col("tail.p_value").alias("p_value"),
-        (F.col("coef") - reach).alias("ci_low"),
-        (F.col("coef") + reach).alias("ci_high"),
-    )
+        with np.errstate(all="ignore"):
+            error = np.sqrt(_quotient(v["sse"], df)[:, None] * diagonal)
+            t = _quotient(coef, error)
+            df = np.repeat(df[:, None], len(terms), axis=1)
+            tested = np.isfinite(t)
+            p_value, critical = np.full(t.shape, np.nan), np.full(t.shape, np.nan)
+            p_value[tested] = t_two_sided(t[tested], df[tested])
+            critical[tested] = t_quantile(confidence, df[tested])
+        fields = {
+            "coef": coef,
+            "std_err": error,
+            "t": t,
+            "p_value": p_value,
+            "ci_low": coef - critical * error,
+            "ci_high": coef + critical * error,
+        }
+        index = batch.index.repeat(len(terms))
+        out = _finite({name: values.ravel() for name, values in fields.items()}, index)
+        out.insert(0, "term", list(terms) * len(batch))
+        yield pd.concat([batch[list(by)].loc[index], out], axis=1)
 
 
 def fit_ols(
@@ -284,17 +316,9 @@ def fit_ols(
     else:
         rows = store(rows, "ols")
 
-    keys = [(f.name, f.dataType.simpleString()) for f in rows.schema.fields if f.name in by]
-    schema = ", ".join(
-        [
-            *[f"`{name}` {kind}" for name, kind in keys],
-            "n BIGINT, coef ARRAY<DOUBLE>, diagonal ARRAY<DOUBLE>, cond_no DOUBLE, sst DOUBLE",
-        ]
-    )
-    moments = _moments(rows, names, by).select(
-        *[name for name, _ in keys], "n", "means", "covariances"
-    )
-    solved = moments.mapInPandas(_solve_batches, schema)
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*[f"`{name}` {kinds[name]}" for name in by], SOLVED_FIELDS])
+    solved = _moments(rows, names, by).mapInPandas(_solve_batches, schema)
     if by:
         solved = store(solved, "ols-solved")
         sums = _residual_sums(rows, solved, "y", names[1:], by, bool(order_by))
@@ -304,20 +328,12 @@ def fit_ols(
         solved = _constants(solved)
         sums = _residual_sums(rows, solved, "y", names[1:], by, bool(order_by))
         fits = sums.withColumns(solved)
-    # A constant response, or residuals of rounding size, count as an exact fit.
-    exact = (F.col("sst") == 0) | (F.col("e2") <= 1e-24 * F.col("sst"))
-    fits = fits.withColumns(
-        {
-            "df_resid": F.greatest(F.col("n") - (len(x) + 1), F.lit(0)),
-            "sse": F.when(exact, 0.0).otherwise(F.col("e2")),
-        }
-    )
     return OlsFit(fits, x, by, confidence)
 
 
 def _constants(solved: DataFrame) -> dict[str, Column]:
     """The only row of a frame, as constants of the frame's types."""
-    row = solved.first()
+    (row,) = solved.collect()
 
     def constant(value, kind: str) -> Column:
         if isinstance(value, list):
