@@ -496,8 +496,13 @@ def _summary(source: str, arm: str, before: str, after: str, names: bool = True)
     )
 
 
-def _describe(source: str, columns: Sequence[str], places: int) -> str:
-    shares = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p80": 0.8, "p85": 0.85, "p90": 0.9}
+SHARES = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p80": 0.8, "p85": 0.85, "p90": 0.9}
+QUARTERS = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+
+
+def _describe(
+    source: str, columns: Sequence[str], places: int, shares: dict[str, float] = SHARES
+) -> str:
     parts = []
     for column in columns:
         quantiles = ", ".join(
@@ -512,6 +517,21 @@ def _describe(source: str, columns: Sequence[str], places: int) -> str:
     return _with(" UNION ALL ".join(parts))
 
 
+def _histogram(source: str, column: str, places: int) -> str:
+    bins = (
+        f"SELECT CAST(least(floor(({column} - low) / ((high - low) / 10)), 9) AS INTEGER) AS bin "
+        f"FROM {source}, span"
+    )
+    return _with(
+        f"SELECT CAST(b.bin AS INTEGER) AS bin, "
+        f"{_r('low + b.bin * ((high - low) / 10)', places, 'lower')}, "
+        f"{_r('low + (b.bin + 1) * ((high - low) / 10)', places, 'upper')}, "
+        "(SELECT count(*) FROM bins WHERE bins.bin = b.bin) AS n FROM range(10) b(bin), span",
+        ("span", f"SELECT min({column}) AS low, max({column}) AS high FROM {source}"),
+        ("bins", bins),
+    )
+
+
 def _one_measure(tag: str, where: str, with_name: bool) -> str:
     name = f"'{tag}' AS measure, " if with_name else ""
     return _with(
@@ -630,6 +650,19 @@ ORACLES: dict[str, str] = {
         + _summary("outcomes", "allocation", "baseline_items_thou", "follow_up_items_thou", False)
         + " GROUP BY allocation"
     ),
+    "secondary_arm_summary": _with(
+        "SELECT 'top3' AS outcome, "
+        + _summary("top_rate", "intervention", "baseline_calc_value", "follow_up_calc_value", False)
+        + " GROUP BY intervention UNION ALL "
+        + " UNION ALL ".join(
+            f"SELECT '{name}' AS outcome, "
+            + _summary(
+                "by_measure", "intervention", "baseline_items_thou", "follow_up_items_thou", False
+            )
+            + f" WHERE measure = '{name}' GROUP BY intervention"
+            for name in ("promo_m", "large_s")
+        )
+    ),
     "top3_measures": _with(
         f"SELECT joint_id, measure, {_rs('baseline_calc_value measure_rank')} FROM top3"
     ),
@@ -703,6 +736,11 @@ ORACLES: dict[str, str] = {
         + _summary("flagged", "flag", "baseline_calc_value", "follow_up_calc_value")
         + " GROUP BY flag"
     ),
+    "sensitivity_flag_items": _with(
+        "SELECT "
+        + _summary("flagged", "flag", "baseline_items_thou", "follow_up_items_thou")
+        + " GROUP BY flag"
+    ),
     "ols_sensitivity_cost": ols_sql(
         "flagged", "follow_up_calc_value", ["baseline_calc_value", "flag"]
     ),
@@ -711,15 +749,7 @@ ORACLES: dict[str, str] = {
     ),
     "describe_clusters": _describe("clusters", ["baseline"], 6),
     "describe_percentiles": _describe("lineitem", ["l_extendedprice", "l_quantity"], 4),
-    "histogram_bins": f"""
-        WITH span AS (SELECT min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders),
-        bins AS (SELECT CAST(least(floor((o_totalprice - low) / ((high - low) / 10)), 9) AS INTEGER)
-                        AS bin FROM orders, span)
-        SELECT CAST(b.bin AS INTEGER) AS bin,
-               {_r('low + b.bin * ((high - low) / 10)', 4, 'lower')},
-               {_r('low + (b.bin + 1) * ((high - low) / 10)', 4, 'upper')},
-               (SELECT count(*) FROM bins WHERE bins.bin = b.bin) AS n
-        FROM range(10) b(bin), span""",
+    "histogram_bins": _histogram("orders", "o_totalprice", 4),
     "winsorise_upper": _with(
         "SELECT joint_id, views_before, views_after, "
         f"{_rs('proxy_views_before proxy_views_after')} FROM capped WHERE org_type = 'practice'"
@@ -729,6 +759,15 @@ ORACLES: dict[str, str] = {
         f"{_r('avg(proxy_views_after)', 6, 'proxy_views_after')} "
         "FROM capped WHERE org_type = 'ccg' GROUP BY intervention"
     ),
+    "trimming_describe": _describe(
+        "(SELECT * FROM capped WHERE org_type = 'ccg')",
+        ["views_before", "views_after", "proxy_views_before", "proxy_views_after"],
+        6,
+        QUARTERS,
+    ),
+    "trimming_histogram": _histogram(
+        "(SELECT * FROM capped WHERE org_type = 'ccg')", "proxy_views_before", 6
+    ),
     "parse_dates": """
         SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso_text,
                CAST(o_orderdate AS DATE) AS iso_date, CAST(o_orderdate AS DATE) AS compact_date,

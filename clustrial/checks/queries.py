@@ -33,7 +33,7 @@ from clustrial.operators.measures import (
 )
 from clustrial.operators.ols import fit_ols
 from clustrial.operators.positions import add_rank
-from clustrial.operators.robust import describe, group_means, histogram
+from clustrial.operators.robust import describe, group_means, histogram, trimming_report
 from clustrial.operators.selection import top_per_group, top_units
 from clustrial.operators.summary import arm_summary
 from clustrial.plans import engagement, trial
@@ -348,6 +348,42 @@ def arm_summary_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(append_all([cost, items]))
 
 
+def secondary_arm_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-3 cost, and items of two single measures, by arm."""
+    by_measure = Trial(spark, sf_dir).outcomes_by_measure
+    parts = [
+        arm_summary(
+            trial.top_measures(by_measure),
+            "intervention",
+            "baseline_calc_value",
+            "follow_up_calc_value",
+        ),
+        *[
+            arm_summary(
+                by_measure.where(F.col("measure") == name),
+                "intervention",
+                "baseline_items_thou",
+                "follow_up_items_thou",
+            )
+            for name in ("promo_m", "large_s")
+        ],
+    ]
+    return rounded(
+        append_all(
+            part.toDF(
+                "intervention",
+                "units",
+                "before_mean",
+                "before_std",
+                "after_mean",
+                "after_std",
+                "change",
+            ).withColumn("outcome", F.lit(outcome))
+            for outcome, part in zip(("top3", "promo_m", "large_s"), parts)
+        )
+    )
+
+
 def top3_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_measure = Trial(spark, sf_dir).outcomes_by_measure
     top = top_per_group(
@@ -475,6 +511,11 @@ def sensitivity_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(arm_summary(flagged, "flag", "baseline_calc_value", "follow_up_calc_value"))
 
 
+def sensitivity_flag_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flagged = _flagged(spark, sf_dir)
+    return rounded(arm_summary(flagged, "flag", "baseline_items_thou", "follow_up_items_thou"))
+
+
 def ols_sensitivity_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _compare(
         _flagged(spark, sf_dir), "baseline_calc_value", "follow_up_calc_value", "flag"
@@ -526,6 +567,23 @@ def trimmed_arm_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _trimmed_ccg(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    trimmed = engagement.trimmed_page_views(Trial(spark, sf_dir).page_view_grid, "ccg")
+    return trimming_report(
+        trimmed,
+        {"views_before": "proxy_views_before", "views_after": "proxy_views_after"},
+        arm="intervention",
+    )
+
+
+def trimming_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_trimmed_ccg(spark, sf_dir)["describe"])
+
+
+def trimming_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_trimmed_ccg(spark, sf_dir)["histogram_proxy_views_before"])
+
+
 # --- engagement -----------------------------------------------------------------------
 
 
@@ -774,6 +832,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         trial_practices,
         period_pivot,
         arm_summary_change,
+        secondary_arm_summary,
         top3_measures,
         top3_per_cluster_rate,
         nested_avg_population,
@@ -787,6 +846,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         ols_pvalues,
         ols_order_lines,
         sensitivity_flag,
+        sensitivity_flag_items,
         ols_sensitivity_cost,
         ols_sensitivity_items,
         describe_clusters,
@@ -794,6 +854,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         histogram_bins,
         winsorise_upper,
         trimmed_arm_means,
+        trimming_describe,
+        trimming_histogram,
         parse_dates,
         event_org_parse,
         matched_pair_dates,
