@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clustrial.checks import tables as t
@@ -52,14 +52,14 @@ from clustrial.sources import (
 def rounded(df: DataFrame, places: int = 6, **special: int) -> DataFrame:
     """Doubles and decimals as doubles of so many places, other columns as they are."""
 
-    def column(name: str, kind: str) -> Column:
+    def column(name: str, kind: str) -> str:
         if kind == "double" or kind.startswith("decimal"):
             digits = special.get(name, special.get(name.split("_")[0], places))
             # Adding 0 turns a negative zero into a plain one.
-            return (F.round(F.col(name).cast("double"), digits) + 0.0).alias(name)
-        return F.col(name)
+            return f"round(CAST({name} AS DOUBLE), {digits}) + 0D AS {name}"
+        return name
 
-    return df.select(*[column(name, kind) for name, kind in df.dtypes])
+    return df.selectExpr(*[column(name, kind) for name, kind in df.dtypes])
 
 
 class Trial:
@@ -105,7 +105,7 @@ class Trial:
 
     @cached_property
     def members(self) -> DataFrame:
-        return trial.trial_members(self.allocation, self.teams)
+        return store(trial.trial_members(self.allocation, self.teams), "members")
 
     @cached_property
     def outcomes(self) -> DataFrame:

@@ -9,10 +9,9 @@ from __future__ import annotations
 from collections.abc import Mapping
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from clustrial.functions import Periods, Window, day
+from clustrial.functions import Periods, Window
 from clustrial.operators.measures import explode_measures
 from clustrial.sources.tables import read_table
 
@@ -74,23 +73,17 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return read_table(spark, f"{sf_dir}/{name}.parquet", TABLES[name], columns)
 
 
-def region_id() -> Column:
-    return F.concat(
-        F.lpad(F.col("c_nationkey").cast("string"), 2, "0"), F.substring("c_mktsegment", 1, 1)
-    )
+REGION_ID = "concat(lpad(CAST(c_nationkey AS STRING), 2, '0'), substring(c_mktsegment, 1, 1))"
 
 
 def practices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``code, code_text, ccg_id, setting, status_code``."""
-    customer = table(
-        spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"
-    )
-    return customer.select(
-        F.col("c_custkey").alias("code"),
-        F.format_string("P%05d", "c_custkey").alias("code_text"),
-        region_id().alias("ccg_id"),
-        F.when(F.col("c_acctbal") >= 0, 4).otherwise(1).alias("setting"),
-        F.when(F.col("c_acctbal") >= 9500, "C").otherwise("A").alias("status_code"),
+    return table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS code",
+        "format_string('P%05d', c_custkey) AS code_text",
+        f"{REGION_ID} AS ccg_id",
+        "CASE WHEN c_acctbal >= 0 THEN 4 ELSE 1 END AS setting",
+        "CASE WHEN c_acctbal >= 9500 THEN 'C' ELSE 'A' END AS status_code",
     )
 
 
@@ -99,26 +92,24 @@ def orders_between(
 ) -> DataFrame:
     """Orders of the months, filtered on the stored date so that the scan can skip."""
     past_last = date(last.year + last.month // 12, last.month % 12 + 1, 1)
-    orders = table(spark, sf_dir, "orders", "o_custkey", "o_orderdate", *columns)
-    return orders.where(
-        (F.col("o_orderdate") >= day(first)) & (F.col("o_orderdate") < day(past_last))
-    ).select(
-        F.col("o_custkey").alias("practice"),
-        F.trunc("o_orderdate", "month").alias("month"),
-        *columns,
+    return (
+        table(spark, sf_dir, "orders")
+        .where(f"o_orderdate >= DATE'{first}' AND o_orderdate < DATE'{past_last}'")
+        .selectExpr("o_custkey AS practice", "trunc(o_orderdate, 'month') AS month", *columns)
     )
 
 
-def statistics(spark: SparkSession, sf_dir: str, first: date = FIRST, last: date = LAST) -> DataFrame:
-    orders = orders_between(spark, sf_dir, first, last, "o_totalprice", "o_orderpriority")
-    size = F.col("o_totalprice").cast("decimal(18,2)")
-    return orders.select(
-        "practice",
-        "month",
-        size.alias("total_list_size"),
-        F.when(F.col("o_orderpriority") == "1-URGENT", size)
-        .otherwise(F.lit(0).cast("decimal(18,2)"))
-        .alias("over_65"),
+def statistics(
+    spark: SparkSession, sf_dir: str, first: date = FIRST, last: date = LAST
+) -> DataFrame:
+    size = "CAST(o_totalprice AS DECIMAL(18, 2))"
+    return orders_between(
+        spark,
+        sf_dir,
+        first,
+        last,
+        f"{size} AS total_list_size",
+        f"CASE WHEN o_orderpriority = '1-URGENT' THEN {size} ELSE 0 END AS over_65",
     )
 
 
@@ -126,112 +117,86 @@ def prescriptions(
     spark: SparkSession, sf_dir: str, first: date = FIRST, last: date = LAST
 ) -> DataFrame:
     """``practice, month, part, items, cost``: order lines of the months."""
-    orders = orders_between(spark, sf_dir, first, last, "o_orderkey")
-    lines = table(
-        spark,
-        sf_dir,
-        "lineitem",
-        "l_orderkey",
-        "l_partkey",
-        "l_quantity",
-        "l_extendedprice",
-        "l_discount",
-    )
-    cost = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        "practice",
-        "month",
-        F.col("l_partkey").alias("part"),
-        F.col("l_quantity").cast("bigint").alias("items"),
-        cost.cast("decimal(18,4)").alias("cost"),
+    orders = orders_between(spark, sf_dir, first, last, "o_orderkey AS order")
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS order",
+        "l_partkey AS part",
+        "CAST(l_quantity AS BIGINT) AS items",
+        "CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4)) AS cost",
     )
+    return lines.join(orders, "order").drop("order")
 
 
 def parts_by_measure(
     spark: SparkSession, sf_dir: str, registry: Mapping[str, str] = REGISTRY
 ) -> DataFrame:
     """``part, measure``: predicates run once per part, not once per order line."""
-    parts = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_type", "p_size")
-    return explode_measures(parts, registry).select(F.col("p_partkey").alias("part"), "measure")
+    return explode_measures(table(spark, sf_dir, "part"), registry).selectExpr(
+        "p_partkey AS part", "measure"
+    )
 
 
 def teams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions of segment A or B in the first world region work in one team per nation."""
-    nation = table(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey")
-    prefix = F.lpad(F.col("n_nationkey").cast("string"), 2, "0")
-    return nation.where(F.col("n_regionkey") == 0).select(
-        F.explode(F.array(F.concat(prefix, F.lit("A")), F.concat(prefix, F.lit("B")))).alias(
-            "ccg_id"
-        ),
-        F.concat(F.lit("TEAM "), F.col("n_name")).alias("joint_team"),
+    prefix = "lpad(CAST(n_nationkey AS STRING), 2, '0')"
+    return (
+        table(spark, sf_dir, "nation")
+        .where("n_regionkey = 0")
+        .selectExpr(
+            f"explode(array(concat({prefix}, 'A'), concat({prefix}, 'B'))) AS ccg_id",
+            "concat('TEAM ', n_name) AS joint_team",
+        )
     )
 
 
 def region_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``code, name``: one row per region, named by nation and segment."""
     customer = table(spark, sf_dir, "customer", "c_nationkey", "c_mktsegment").distinct()
-    nation = table(spark, sf_dir, "nation", "n_nationkey", "n_name")
-    return customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        region_id().alias("code"), F.concat_ws(" ", "n_name", "c_mktsegment").alias("name")
+    nation = table(spark, sf_dir, "nation").selectExpr("n_nationkey AS c_nationkey", "n_name")
+    return customer.join(nation, "c_nationkey").selectExpr(
+        f"{REGION_ID} AS code", "concat_ws(' ', n_name, c_mktsegment) AS name"
     )
 
 
 def visit_timetable(spark: SparkSession, sf_dir: str, allocation: DataFrame) -> DataFrame:
     """``joint_id, date`` for intervention clusters; day-first text, empty if not visited."""
-    nation = table(spark, sf_dir, "nation", "n_nationkey", "n_regionkey").select(
-        F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("prefix"),
-        F.when(
-            F.col("n_regionkey") != 3,
-            F.date_format(
-                F.date_add(day(date(2024, 1, 8)), F.floor(F.col("n_nationkey") / 2).cast("int")),
-                "dd/MM/yyyy",
-            ),
-        ).alias("date"),
-    )
-    visited = allocation.where(F.col("allocation") == "I").select(
-        "joint_id", F.substring("joint_id", 1, 2).alias("prefix")
+    visit = "date_add(DATE'2024-01-08', CAST(floor(n_nationkey / 2) AS INT))"
+    nation = table(spark, sf_dir, "nation").selectExpr(
+        "lpad(CAST(n_nationkey AS STRING), 2, '0') AS prefix",
+        f"CASE WHEN n_regionkey = 3 THEN '' ELSE date_format({visit}, 'dd/MM/yyyy') END AS date",
     )
-    return visited.join(nation, "prefix").select(
-        "joint_id", F.coalesce("date", F.lit("")).alias("date")
+    visited = allocation.where("allocation = 'I'").selectExpr(
+        "joint_id", "substring(joint_id, 1, 2) AS prefix"
     )
+    return visited.join(nation, "prefix").select("joint_id", "date")
 
 
-def events_with_org(spark: SparkSession, sf_dir: str, kinds: list[str]) -> DataFrame:
-    events = table(spark, sf_dir, "events", "ts", "user_id", "event_type", "value", "props")
+def events_with_org(spark: SparkSession, sf_dir: str, kinds: str) -> DataFrame:
+    orgs = practices(spark, sf_dir).selectExpr("code AS user_id", "code_text", "ccg_id AS region")
     return (
-        events.where(F.col("event_type").isin(*kinds))
-        .join(
-            practices(spark, sf_dir).select(
-                F.col("code").alias("user_id"), "code_text", F.col("ccg_id").alias("region")
-            ),
-            "user_id",
-        )
-        .withColumn("k", F.get_json_object("props", "$.k"))
+        table(spark, sf_dir, "events")
+        .where(f"event_type IN ({kinds})")
+        .selectExpr("ts", "user_id", "event_type", "value", "get_json_object(props, '$.k') AS k")
+        .join(orgs, "user_id")
     )
 
 
 def page_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``Page, Date, views``: views hit region pages, clicks practice pages."""
-    events = events_with_org(spark, sf_dir, ["view", "click"])
-    page = F.when(
-        F.col("event_type") == "view",
-        F.concat(F.lit("/ccg/"), "region", F.lit("/lp"), "k"),
-    ).otherwise(F.concat(F.lit("/practice/"), "code_text", F.lit("/lp"), "k"))
-    return events.select(
-        page.alias("Page"),
-        F.to_date("ts").alias("Date"),
-        (F.floor(F.col("value") / 100) + 1).cast("bigint").alias("views"),
+    return events_with_org(spark, sf_dir, "'view', 'click'").selectExpr(
+        "CASE WHEN event_type = 'view' THEN concat('/ccg/', region, '/lp', k) "
+        "ELSE concat('/practice/', code_text, '/lp', k) END AS Page",
+        "to_date(ts) AS Date",
+        "CAST(floor(value / 100) + 1 AS BIGINT) AS views",
     )
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``created_at, approved, pct, practice, user``: sign-ups of a region or a practice."""
-    events = events_with_org(spark, sf_dir, ["signup"])
-    regional = F.col("value") >= 60
-    return events.select(
-        F.col("ts").alias("created_at"),
-        F.when(F.col("value") >= 20, "t").otherwise("f").alias("approved"),
-        F.when(regional, F.col("region")).alias("pct"),
-        F.when(~regional, F.col("code_text")).alias("practice"),
-        F.col("k").alias("user"),
+    return events_with_org(spark, sf_dir, "'signup'").selectExpr(
+        "ts AS created_at",
+        "CASE WHEN value >= 20 THEN 't' ELSE 'f' END AS approved",
+        "CASE WHEN value >= 60 THEN region END AS pct",
+        "CASE WHEN value < 60 THEN code_text END AS practice",
+        "k AS user",
     )

@@ -1,6 +1,14 @@
 """Column functions; all of them work on batch and streaming frames alike."""
 
-from clustrial.functions.missing import cap_at, has_keys, indicator, ratio, sum_or_zero
+from clustrial.functions.missing import (
+    cap_at,
+    has_keys,
+    indicator,
+    quoted,
+    ratio,
+    sum_or_zero,
+    text,
+)
 from clustrial.functions.orgs import alert_org_type, org_id, org_type
 from clustrial.functions.periods import (
     ALERT_WINDOW,
@@ -9,7 +17,6 @@ from clustrial.functions.periods import (
     Window,
     classify_period,
     date_text,
-    day,
     days_between,
     event_window,
     month_range,
@@ -27,7 +34,6 @@ __all__ = [
     "cap_at",
     "classify_period",
     "date_text",
-    "day",
     "days_between",
     "event_window",
     "has_keys",
@@ -38,6 +44,8 @@ __all__ = [
     "parse_compact_date",
     "parse_iso_date",
     "parse_visit_date",
+    "quoted",
     "ratio",
     "sum_or_zero",
+    "text",
 ]

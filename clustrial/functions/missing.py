@@ -1,44 +1,48 @@
-"""Missing values and division, by the dataframe rules the trial was analysed with."""
+"""Missing values and division, by the dataframe rules the trial was analysed with.
+
+Arguments called ``str`` are columns or SQL expressions.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def quoted(name: str) -> str:
+    """A column name as SQL."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text(value: str) -> str:
+    """A text constant as SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def has_keys(columns: Iterable[str]) -> Column:
     """True where no key is null: grouping leaves out rows with a null key."""
-    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns], F.lit(True))
+    return F.expr(" AND ".join(f"{quoted(c)} IS NOT NULL" for c in columns) or "true")
 
 
-def sum_or_zero(column: Column | str) -> Column:
+def sum_or_zero(value: str) -> Column:
     """A sum that is 0, not null, when every value is null."""
-    return F.coalesce(F.sum(column), F.lit(0))
+    return F.expr(f"coalesce(sum({value}), 0)")
 
 
-def ratio(numerator: Column | str, denominator: Column | str) -> Column:
+def ratio(numerator: str, denominator: str) -> Column:
     """A double quotient; null where the denominator is 0."""
-
-    def as_double(c: Column | str) -> Column:
-        return (F.col(c) if isinstance(c, str) else c).cast("double")
-
-    return F.try_divide(as_double(numerator), as_double(denominator))
+    return F.expr(f"try_divide(CAST({numerator} AS DOUBLE), CAST({denominator} AS DOUBLE))")
 
 
-def cap_at(value: Column | str, cap: Column) -> Column:
+def cap_at(value: str, cap: float | None) -> Column:
     """The value where it is below the cap, else the cap; null becomes the cap."""
-    value = F.col(value) if isinstance(value, str) else value
-    return F.when(value < cap, value).otherwise(cap)
+    number, limit = F.col(value).cast("double"), F.lit(cap).cast("double")
+    return F.when(number < limit, number).otherwise(limit)
 
 
-def indicator(value: Column | str, mapping: dict[str, int]) -> Column:
+def indicator(value: str, mapping: dict[str, int]) -> Column:
     """Map labels to numbers; a label not in the mapping gives null."""
-    value = F.col(value) if isinstance(value, str) else value
-    result = None
-    for label, number in mapping.items():
-        hit = value == label
-        result = F.when(hit, number) if result is None else result.when(hit, number)
-    return result
+    cases = " ".join(f"WHEN {text(label)} THEN {number}" for label, number in mapping.items())
+    return F.expr(f"CASE {value} {cases} END")

@@ -19,28 +19,21 @@ class Periods:
     after: date
 
 
-def day(value: date) -> Column:
-    """A date constant."""
-    return F.lit(value.isoformat()).cast("date")
-
-
-def classify_period(month: Column | str, periods: Periods) -> Column:
+def classify_period(month: str, periods: Periods) -> Column:
     """before / baseline / mid / follow-up / after; a null month gives ``'0'``."""
-    month = F.col(month) if isinstance(month, str) else month
-    return (
-        F.when(month >= day(periods.after), "after")
-        .when(month >= day(periods.follow_up), "follow-up")
-        .when(month >= day(periods.mid), "mid")
-        .when(month >= day(periods.baseline), "baseline")
-        .when(month < day(periods.baseline), "before")
-        .otherwise("0")
+    return F.expr(
+        f"""CASE WHEN {month} >= DATE'{periods.after}' THEN 'after'
+                 WHEN {month} >= DATE'{periods.follow_up}' THEN 'follow-up'
+                 WHEN {month} >= DATE'{periods.mid}' THEN 'mid'
+                 WHEN {month} >= DATE'{periods.baseline}' THEN 'baseline'
+                 WHEN {month} < DATE'{periods.baseline}' THEN 'before'
+                 ELSE '0' END"""
     )
 
 
-def month_range(month: Column | str, first: date, last: date) -> Column:
+def month_range(month: str, first: date, last: date) -> Column:
     """Months from ``first`` to ``last``, both included."""
-    month = F.col(month) if isinstance(month, str) else month
-    return month.between(day(first), day(last))
+    return F.expr(f"{month} BETWEEN DATE'{first}' AND DATE'{last}'")
 
 
 def parse_iso_date(text: Column | str) -> Column:
@@ -86,21 +79,20 @@ PAGE_VIEW_WINDOW = Window(before=(-28, -1), after=(1, 28))
 ALERT_WINDOW = Window(before=(None, -1), after=(0, 84))
 
 
-def _inside(days: Column, bounds: tuple[int | None, int | None]) -> Column:
+def _inside(days: str, bounds: tuple[int | None, int | None]) -> str:
     low, high = bounds
-    test = days.isNotNull()
+    tests = [f"{days} IS NOT NULL"]
     if low is not None:
-        test = test & (days >= low)
+        tests.append(f"{days} >= {low}")
     if high is not None:
-        test = test & (days <= high)
-    return test
+        tests.append(f"{days} <= {high}")
+    return " AND ".join(tests)
 
 
-def event_window(days: Column | str, window: Window) -> Column:
+def event_window(days: str, window: Window) -> Column:
     """``before``, ``after`` or ``none`` by the number of days since the visit."""
-    days = F.col(days) if isinstance(days, str) else days
-    return (
-        F.when(_inside(days, window.after), "after")
-        .when(_inside(days, window.before), "before")
-        .otherwise("none")
+    return F.expr(
+        f"""CASE WHEN {_inside(days, window.after)} THEN 'after'
+                 WHEN {_inside(days, window.before)} THEN 'before'
+                 ELSE 'none' END"""
     )

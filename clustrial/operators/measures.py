@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clustrial.functions import month_range
+from clustrial.functions import has_keys, month_range, text
 
 PRESCRIBING_SETTING = 4  # Fixed value: the setting code of a prescribing practice.
 
@@ -22,8 +22,12 @@ def explode_measures(df: DataFrame, registry: Mapping[str, str]) -> DataFrame:
     """
     # Stated as one filter too, so that a short registry reaches the scan.
     df = df.where(F.expr(" OR ".join(f"({rule})" for rule in registry.values())))
-    matches = F.array(*[F.when(F.expr(rule), F.lit(name)) for name, rule in registry.items()])
-    return df.withColumn("measure", F.explode(matches)).where(F.col("measure").isNotNull())
+    matches = ", ".join(
+        f"CASE WHEN {rule} THEN {text(name)} END" for name, rule in registry.items()
+    )
+    return df.withColumn("measure", F.expr(f"explode(array({matches}))")).where(
+        "measure IS NOT NULL"
+    )
 
 
 def in_code_list(df: DataFrame, codes: DataFrame, column: str, code: str = "bnf_code") -> DataFrame:
@@ -32,8 +36,8 @@ def in_code_list(df: DataFrame, codes: DataFrame, column: str, code: str = "bnf_
 
 
 def _prescribing_practices(practices: DataFrame) -> DataFrame:
-    return practices.where(F.col("setting") == PRESCRIBING_SETTING).select(
-        F.col("code").alias("practice"), F.col("ccg_id").alias("pct_id")
+    return practices.where(f"setting = {PRESCRIBING_SETTING}").selectExpr(
+        "code AS practice", "ccg_id AS pct_id"
     )
 
 
@@ -45,7 +49,7 @@ def region_denominators(
         statistics.where(month_range("month", first, last))
         .join(_prescribing_practices(practices), "practice")
         .groupBy("month", "pct_id")
-        .agg((F.sum("total_list_size").cast("double") / 1000).alias("denominator"))
+        .agg(F.expr("CAST(sum(total_list_size) AS DOUBLE) / 1000 AS denominator"))
     )
 
 
@@ -64,25 +68,26 @@ def region_month_measures(
     prescribed. Facts are summed per practice before the practice join: a practice
     holding a third of all rows is folded on the map side and never meets the join.
     """
+    totals = [F.expr("sum(items) AS items"), F.expr("sum(cost) AS cost")]
     by_practice = (
         prescribing.where(month_range("month", first, last))
         .groupBy("practice", "month", "measure")
-        .agg(F.sum("items").alias("items"), F.sum("cost").alias("cost"))
+        .agg(*totals)
     )
     numerators = (
         by_practice.join(_prescribing_practices(practices), "practice")
         .groupBy("month", "pct_id", "measure")
-        .agg(F.sum("items").alias("items"), F.sum("cost").alias("cost"))
+        .agg(*totals)
     )
     grid = region_denominators(statistics, practices, first, last).withColumn(
-        "measure", F.explode(F.array(*[F.lit(m) for m in measures]))
+        "measure", F.expr(f"explode(array({', '.join(text(m) for m in measures)}))")
     )
-    return grid.join(numerators, ["month", "pct_id", "measure"], "left").select(
+    return grid.join(numerators, ["month", "pct_id", "measure"], "left").selectExpr(
         "month",
         "pct_id",
         "measure",
-        F.coalesce("items", F.lit(0)).alias("items"),
-        F.coalesce("cost", F.lit(0)).alias("cost"),
+        "coalesce(items, 0) AS items",
+        "coalesce(cost, 0) AS cost",
         "denominator",
     )
 
@@ -94,11 +99,11 @@ def combine_measures(monthly: DataFrame) -> DataFrame:
     row belonging to several measures counts once for each.
     """
     return (
-        monthly.where(F.col("pct_id").isNotNull() & F.col("month").isNotNull())
+        monthly.where(has_keys(["pct_id", "month"]))
         .groupBy("pct_id", "month")
         .agg(
-            F.sum("items").alias("items"),
-            F.sum("cost").alias("cost"),
-            F.max("denominator").alias("denominator"),
+            F.expr("sum(items) AS items"),
+            F.expr("sum(cost) AS cost"),
+            F.expr("max(denominator) AS denominator"),
         )
     )

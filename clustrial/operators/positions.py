@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clustrial.functions import has_keys
+from clustrial.functions import has_keys, quoted
 from clustrial.sources import tables
 from clustrial.sources.tables import SLICE
 
@@ -97,18 +97,21 @@ def window_rank(
     Use it behind ``limit(k)`` or for groups of at most one row per measure;
     ``add_rank`` is for everything else.
     """
-    known = F.col(value).isNotNull()
-    group = Window.partitionBy(*by)
-    tied = Window.partitionBy(*by, value)
-    order = Window.partitionBy(*by, known).orderBy(
-        F.col(value).asc() if ascending else F.col(value).desc()
-    )
-    rank = F.rank().over(order).cast("double")
+    keys = [quoted(c) for c in by]
+    v, known = quoted(value), f"{quoted(value)} IS NOT NULL"
+
+    def over(*columns: str, order: str = "") -> str:
+        cut = f"PARTITION BY {', '.join(columns)}" if columns else ""
+        return f"OVER ({cut} {order})"
+
+    direction = "ASC" if ascending else "DESC"
+    rank = f"CAST(rank() {over(*keys, known, order=f'ORDER BY {v} {direction}')} AS DOUBLE)"
     if method == "average":
-        rank = rank + (F.count(value).over(tied) - 1) / 2
+        rank = f"({rank} + (count({v}) {over(*keys, v)} - 1) / 2)"
     if pct:
-        rank = rank / F.count(value).over(group)
-    return F.when(known & has_keys(by), rank)
+        rank = f"{rank} / count({v}) {over(*keys)}"
+    ranked = " AND ".join([known, *[f"{k} IS NOT NULL" for k in keys]])
+    return F.expr(f"CASE WHEN {ranked} THEN {rank} END")
 
 
 def quantiles(

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clustrial.functions import has_keys
+from clustrial.functions import has_keys, quoted, text
 
 
 def flatten_names(df: DataFrame, strip: str = "_") -> DataFrame:
@@ -29,15 +29,15 @@ def pivot_sums(
     dropped, so a unit without any data disappears. One aggregation, one shuffle.
     """
 
-    def total(value: str, name: str) -> Column:
-        return F.sum(F.when(F.col(label) == name, F.coalesce(value, F.lit(0))))
-
     return (
         df.where(has_keys([*keys, label]))
         .groupBy(*keys)
         .agg(
             *[
-                total(value, name).alias(f"{value}_{suffix}")
+                F.expr(
+                    f"sum(CASE WHEN {quoted(label)} = {text(name)} "
+                    f"THEN coalesce({quoted(value)}, 0) END) AS {quoted(f'{value}_{suffix}')}"
+                )
                 for value in values
                 for name, suffix in labels.items()
             ]
@@ -60,22 +60,21 @@ def pivot_dense(
     needs no join of units with categories.
     """
 
-    def cell(value: str, of: str, name: str) -> Column:
-        hit = (F.col(category) == of) & (F.col(label) == name)
-        return F.coalesce(F.sum(F.when(hit, F.col(value))), F.lit(0)).alias(f"{value}_{name}")
+    def cell(value: str, of: str, name: str) -> str:
+        hit = f"{quoted(category)} = {text(of)} AND {quoted(label)} = {text(name)}"
+        total = f"coalesce(sum(CASE WHEN {hit} THEN {quoted(value)} END), 0)"
+        return f"{text(f'{value}_{name}')}, {total}"
 
-    blocks = F.array(
-        *[
-            F.struct(
-                F.lit(of).alias(category),
-                *[cell(value, of, name) for value in values for name in labels],
-            )
-            for of in categories
-        ]
-    )
+    blocks = [
+        ", ".join(
+            [f"{text(category)}, {text(of)}", *[cell(v, of, n) for v in values for n in labels]]
+        )
+        for of in categories
+    ]
+    array = ", ".join(f"named_struct({block})" for block in blocks)
     return (
         totals.where(has_keys([*units]))
         .groupBy(*units)
-        .agg(blocks.alias("_blocks"))
+        .agg(F.expr(f"array({array}) AS _blocks"))
         .select(*units, F.inline("_blocks"))
     )

@@ -86,9 +86,7 @@ def winsorise(
     return df.select(
         "*",
         *[
-            cap_at(F.col(source).cast("double"), F.lit(cap_of.get(source)).cast("double")).alias(
-                name
-            )
+            cap_at(source, cap_of.get(source)).alias(name)
             for source, name in columns.items()
         ],
     )

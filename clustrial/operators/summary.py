@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clustrial.functions import has_keys
+from clustrial.functions import has_keys, quoted
 
 
 def arm_summary(
@@ -17,19 +17,19 @@ def arm_summary(
     sums: bool = False,
 ) -> DataFrame:
     """Units, mean and sample SD before and after, and the change of the mean."""
+    moments = [
+        F.expr(f"{function}({quoted(c)}) AS {quoted(f'{c}_{name}')}")
+        for c in (before, after)
+        for name, function in {"mean": "avg", "std": "stddev_samp"}.items()
+    ]
     totals = [F.sum(c).alias(f"{c}_sum") for c in (before, after)] if sums else []
     return (
         df.where(has_keys([arm]))
         .groupBy(arm)
-        .agg(
-            F.countDistinct(unit).alias("units"),
-            F.avg(before).alias(f"{before}_mean"),
-            F.stddev_samp(before).alias(f"{before}_std"),
-            F.avg(after).alias(f"{after}_mean"),
-            F.stddev_samp(after).alias(f"{after}_std"),
-            *totals,
+        .agg(F.countDistinct(unit).alias("units"), *moments, *totals)
+        .withColumn(
+            "change", F.expr(f"{quoted(f'{after}_mean')} - {quoted(f'{before}_mean')}")
         )
-        .withColumn("change", F.col(f"{after}_mean") - F.col(f"{before}_mean"))
     )
 
 

@@ -10,11 +10,11 @@ from clustrial.functions import (
     PAGE_VIEW_WINDOW,
     Window,
     alert_org_type,
-    days_between,
     event_window,
     has_keys,
     org_id,
     org_type,
+    sum_or_zero,
 )
 from clustrial.operators.clusters import roll_up
 from clustrial.operators.positions import add_rank, window_rank
@@ -86,13 +86,13 @@ def cluster_page_views(
     by_code = practices.select(F.col("code").alias("org_id"), "ccg_id")
     regional = (
         daily.join(by_code, "org_id", "left")
-        .withColumn(
-            "pct_id",
-            F.when(F.length("org_id") == REGION_ID_LENGTH, F.col("org_id")).otherwise(
-                F.col("ccg_id")
-            ),
+        .selectExpr(
+            f"CASE WHEN length(org_id) = {REGION_ID_LENGTH} THEN org_id ELSE ccg_id END AS pct_id",
+            "org_type",
+            "Page",
+            "Date",
+            "views",
         )
-        .drop("ccg_id", "org_id")
     )
     trial = members.select("joint_id", "pct_id").join(
         units.select("joint_id", "intervention", "list_size", "date_int"), "joint_id"
@@ -101,14 +101,14 @@ def cluster_page_views(
     keys = [*unit_keys, "org_type", "timing"]
     pages = (
         regional.join(trial, "pct_id")
-        .withColumn("timing", event_window(days_between("date_int", "Date"), window))
+        .withColumn("timing", event_window("datediff(Date, date_int)", window))
         .where(has_keys(keys))
         .groupBy(*keys, "Page")
         .agg(F.sum("views").alias("views"))
     )
     totals = store(
         pages.groupBy(*keys).agg(
-            F.coalesce(F.sum("views"), F.lit(0)).alias("views"), F.count("Page").alias("pages")
+            sum_or_zero("views").alias("views"), F.count("Page").alias("pages")
         ),
         "page-views",
     )
@@ -160,23 +160,23 @@ def cluster_alerts(
     )
     users = (
         approved.join(trial, "pct_id")
-        .withColumn("timing", event_window(days_between("date_int", "created"), window))
+        .withColumn("timing", event_window("datediff(created, date_int)", window))
         .where(F.col("user").isNotNull())
         .groupBy("joint_id", "org_type", "timing", "user")
         .agg(F.lit(1).alias("seen"))
     )
     cells = {
-        f"alerts_{kind}_{when}": (F.col("org_type") == kind) & (F.col("timing") == when)
+        f"alerts_{kind}_{when}": f"org_type = '{kind}' AND timing = '{when}'"
         for kind in ORG_TYPES
         for when in ("after", "before")
     }
     counts = users.groupBy("joint_id").agg(
-        *[F.count_if(test).alias(name) for name, test in cells.items()]
+        *[F.expr(f"count_if({test}) AS {name}") for name, test in cells.items()]
     )
     clusters = units.select("intervention", "joint_id", "list_size").distinct()
-    return clusters.join(counts, "joint_id", "left").select(
+    return clusters.join(counts, "joint_id", "left").selectExpr(
         "intervention",
         "joint_id",
-        (F.col("list_size").cast("double") / 100000).alias("list_size_100k"),
-        *[F.coalesce(name, F.lit(0)).alias(name) for name in cells],
+        "CAST(list_size AS DOUBLE) / 100000 AS list_size_100k",
+        *[f"coalesce({name}, 0) AS {name}" for name in cells],
     )

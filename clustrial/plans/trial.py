@@ -47,9 +47,9 @@ def period_totals(monthly: DataFrame, periods: Periods, by: list[str]) -> DataFr
         .where(F.col("pct_id").isNotNull())
         .groupBy(*keys)
         .agg(
-            F.sum("items").cast("double").alias("items"),
-            F.sum("cost").cast("double").alias("cost"),
-            F.avg("denominator").alias("denominator"),
+            F.expr("CAST(sum(items) AS DOUBLE) AS items"),
+            F.expr("CAST(sum(cost) AS DOUBLE) AS cost"),
+            F.expr("avg(denominator) AS denominator"),
         )
     )
 
@@ -58,11 +58,11 @@ def baseline_rates(monthly: DataFrame, periods: Periods) -> DataFrame:
     """Per region: cost and denominator summed over the baseline months, and their ratio."""
     return (
         monthly.withColumn("period", classify_period("month", periods))
-        .where((F.col("period") == "baseline") & F.col("pct_id").isNotNull())
+        .where("period = 'baseline' AND pct_id IS NOT NULL")
         .groupBy("pct_id")
         .agg(
-            F.sum("cost").cast("double").alias("numerator"),
-            F.sum("denominator").alias("denominator"),
+            F.expr("CAST(sum(cost) AS DOUBLE) AS numerator"),
+            F.expr("sum(denominator) AS denominator"),
         )
         .withColumn("baseline", ratio("numerator", "denominator"))
     )
@@ -160,10 +160,10 @@ def top_measures(by_measure: DataFrame, k: int = 3) -> DataFrame:
     return (
         chosen.groupBy("joint_id", "allocation", "intervention")
         .agg(
-            F.coalesce(F.sum("cost_baseline"), F.lit(0.0)).alias("cost_baseline"),
-            F.coalesce(F.sum("cost_follow_up"), F.lit(0.0)).alias("cost_follow_up"),
-            F.avg("denominator_baseline").alias("denominator_baseline"),
-            F.avg("denominator_follow_up").alias("denominator_follow_up"),
+            F.expr("coalesce(sum(cost_baseline), 0D) AS cost_baseline"),
+            F.expr("coalesce(sum(cost_follow_up), 0D) AS cost_follow_up"),
+            F.expr("avg(denominator_baseline) AS denominator_baseline"),
+            F.expr("avg(denominator_follow_up) AS denominator_follow_up"),
         )
         .withColumns(
             {

@@ -51,7 +51,7 @@ def test_division_by_zero_is_null(spark):
 
 def test_null_becomes_the_cap(spark):
     df = spark.createDataFrame([(1.0,), (9.0,), (None,)], "v DOUBLE")
-    assert [r[0] for r in df.select(cap_at("v", F.lit(5.0))).collect()] == [1.0, 5.0, 5.0]
+    assert [r[0] for r in df.select(cap_at("v", 5.0)).collect()] == [1.0, 5.0, 5.0]
 
 
 def test_unmapped_label_is_null(spark):
@@ -139,9 +139,8 @@ def test_functions_work_on_a_stream(spark, tmp_path):
     spark.sql("SELECT '/ccg/03E/lp' page, '20181106' day").write.json(str(source))
     stream = spark.readStream.schema("page STRING, day STRING").json(str(source))
     visit = F.lit("2018-11-05").cast("date")
-    labelled = stream.select(
-        org_id("page").alias("org"),
-        event_window(days_between(visit, parse_compact_date("day")), PAGE_VIEW_WINDOW).alias("w"),
+    labelled = stream.withColumn("days", days_between(visit, parse_compact_date("day"))).select(
+        org_id("page").alias("org"), event_window("days", PAGE_VIEW_WINDOW).alias("w")
     )
     query = labelled.writeStream.format("memory").queryName("labelled").start()
     query.processAllAvailable()
