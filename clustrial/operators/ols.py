@@ -10,10 +10,10 @@ from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clustrial.functions import has_keys
+from clustrial.functions import has_keys, quoted
 from clustrial.functions.tails import f_upper, t_quantile, t_two_sided
 from clustrial.sources.tables import SLICE, store, store_in_slices
 
@@ -50,11 +50,14 @@ class OlsFit:
 
 def _moments(rows: DataFrame, variables: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Count, means and covariances: central moments that merge stably across tasks."""
-    pairs = combinations_with_replacement(range(len(variables)), 2)
+    means = ", ".join(f"avg({v})" for v in variables)
+    covariances = ", ".join(
+        f"covar_samp({a}, {b})" for a, b in combinations_with_replacement(variables, 2)
+    )
     return rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.avg(v) for v in variables]).alias("means"),
-        F.array(*[F.covar_samp(variables[i], variables[j]) for i, j in pairs]).alias("covariances"),
+        F.expr("count(1) AS n"),
+        F.expr(f"array({means}) AS means"),
+        F.expr(f"array({covariances}) AS covariances"),
     )
 
 
@@ -123,32 +126,30 @@ def _residual_sums(
     for c, name in zip(coef[1:], x):
         fitted = fitted + c * F.col(name)
     rows = rows.withColumn("e", F.col(y) - fitted)
-    powers = [
-        F.sum("e").alias("e1"),
-        F.sum(F.pow("e", F.lit(2))).alias("e2"),
-        F.sum(F.pow("e", F.lit(3))).alias("e3"),
-        F.sum(F.pow("e", F.lit(4))).alias("e4"),
-    ]
+    powers = [F.expr(f"sum({'*'.join('e' * p)}) AS e{p}") for p in range(1, 5)]
     if not ordered:
-        return rows.groupBy(*by).agg(*powers, F.lit(None).cast("double").alias("steps"))
+        return rows.groupBy(*by).agg(*powers, F.expr("CAST(NULL AS DOUBLE) AS steps"))
 
-    place = Window.partitionBy(*by, SLICE).orderBy("place")
+    groups = ", ".join(quoted(c) for c in by)
+    slice_key = ", ".join(filter(None, [groups, SLICE]))
+    group_key = f"PARTITION BY {groups}" if by else ""
     per_slice = (
-        rows.withColumn("step", F.col("e") - F.lag("e").over(place))
+        rows.withColumn("step", F.expr(f"e - lag(e) OVER (PARTITION BY {slice_key} ORDER BY place)"))
         .groupBy(*by, SLICE)
         .agg(
             *powers,
-            F.sum(F.col("step") * F.col("step")).alias("steps"),
-            F.min_by("e", "place").alias("first_e"),
-            F.max_by("e", "place").alias("last_e"),
+            F.expr("coalesce(sum(step * step), 0D) AS steps"),
+            F.expr("min_by(e, place) AS first_e"),
+            F.expr("max_by(e, place) AS last_e"),
         )
     )
-    previous = F.lag("last_e").over(Window.partitionBy(*by).orderBy(SLICE))
-    seam = F.coalesce(F.pow(F.col("first_e") - previous, F.lit(2)), F.lit(0.0))
+    # The step from the last row of one slice to the first of the next.
+    seam = f"first_e - lag(last_e) OVER ({group_key} ORDER BY {SLICE})"
     return (
-        per_slice.withColumn("steps", F.coalesce("steps", F.lit(0.0)) + seam)
+        per_slice.withColumn("seam", F.expr(seam))
+        .withColumn("steps", F.expr("steps + coalesce(seam * seam, 0D)"))
         .groupBy(*by)
-        .agg(*[F.sum(c).alias(c) for c in ("e1", "e2", "e3", "e4", "steps")])
+        .agg(*[F.expr(f"sum({c}) AS {c}") for c in ("e1", "e2", "e3", "e4", "steps")])
     )
 
 
@@ -308,7 +309,7 @@ def fit_ols(
     names = ["y", *[f"x{i}" for i in range(len(x))]]
     rows = df.where(has_keys([*by, *variables])).select(
         *by,
-        *[F.col(v).cast("double").alias(name) for v, name in zip(variables, names)],
+        *[F.expr(f"CAST({quoted(v)} AS DOUBLE) AS {name}") for v, name in zip(variables, names)],
         *([F.struct(*order_by, *variables).alias("place")] if order_by else []),
     )
     if order_by:
