@@ -18,11 +18,20 @@ def spark(checkpoint_dir):
     session.stop()
 
 
+@pytest.fixture
+def many_slices(spark, monkeypatch):
+    """Cut every ordered table into as many slices as there are shuffle partitions."""
+    monkeypatch.setattr(tables, "SMALL_ROWS", 0)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @pytest.fixture(params=["one task", "sliced"])
-def sliced(request, monkeypatch):
+def sliced(request):
     """Run a test with small-table windows, and again with every table cut into slices."""
     if request.param == "sliced":
-        monkeypatch.setattr(tables, "SMALL_ROWS", 0)
+        request.getfixturevalue("many_slices")
     return request.param
 
 

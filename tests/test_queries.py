@@ -53,10 +53,7 @@ def test_same_as_sql(spark, con, one_trial, name):
 @pytest.mark.parametrize(
     "name", ["avg_rank_by_group", "allocate_stored_draw", "describe_percentiles", "pct_rank_min"]
 )
-def test_same_as_sql_in_slices(spark, con, name, monkeypatch):
-    from clustrial.sources import tables
-
-    monkeypatch.setattr(tables, "SMALL_ROWS", 0)
+def test_same_as_sql_in_slices(spark, con, name, many_slices):
     assert difference(QUERIES[name](spark, SF_DIR), con, ORACLES[name]) is None
 
 

@@ -21,7 +21,6 @@ from clustrial.sources import (
     write_csv,
     write_table,
 )
-from clustrial.sources import tables
 from tests.conftest import rows
 
 
@@ -86,8 +85,7 @@ def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
         shared_folder(Session())
 
 
-def test_slices_are_ordered_and_split_a_hot_group(spark, monkeypatch):
-    monkeypatch.setattr(tables, "SMALL_ROWS", 0)
+def test_slices_are_ordered_and_split_a_hot_group(spark, many_slices):
     df = spark.range(3000).selectExpr("CASE WHEN id < 2000 THEN 'hot' ELSE 'b' END AS g", "id")
     sliced = store_in_slices(df.repartition(7), ["g", "id"])
     spans = sliced.groupBy("_slice").agg({"g": "max", "id": "min"}).count()
