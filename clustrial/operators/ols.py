@@ -116,7 +116,12 @@ def _solve_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _residual_sums(
-    rows: DataFrame, solved: DataFrame | dict[str, Column], y: str, x: Sequence[str], by: Sequence[str], ordered: bool
+    rows: DataFrame,
+    solved: DataFrame | dict[str, Column],
+    y: str,
+    x: Sequence[str],
+    by: Sequence[str],
+    ordered: bool,
 ) -> DataFrame:
     """Power sums of the residuals, and the sum of squared steps between neighbours."""
     if by:
