@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clustrial.llm import packing, simhash, token_files
+from clustrial.llm import packing, quality_rules, simhash, token_files, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -21,14 +25,26 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder, manifest)
 
 
+def op7_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.apply_policy(quality_rules.ledger(_table(spark, sf_dir, "documents")))
+    base = F.col("failed").bitwiseAND(F.lit(quality_rules.mask_of(quality_rules.BASE_RULES))) != 0
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *counts, base.alias("base_failed"), "kept")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES = {
+    "op4_winnowing": op4_winnowing,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_token_files": op6_token_files,
+    "op7_rule_ledger": op7_rule_ledger,
     "op10_simhash": op10_simhash,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op7_rule_ledger": quality_rules.ORACLE,
+    "op4_winnowing": winnowing.ORACLE,
+}
