@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clustrial.llm import packing, quality_rules, simhash, token_files, winnowing
+from clustrial.llm import packing, pii, quality_rules, simhash, token_files, winnowing
+
+
+KEY = "pseudonym key of the checks"  # a real corpus has a secret of its own
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymise(_table(spark, sf_dir, "documents"), KEY)
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("pii_found", lambda x: x["kind"]))), ",")
+    return found.select(
+        "doc_id", "text", F.size("pii_found").cast("long").alias("n_replaced"), kinds.alias("kinds")
+    )
+
+
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -38,6 +49,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_feistel_pseudonyms": op3_feistel_pseudonyms,
     "op4_winnowing": op4_winnowing,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_token_files": op6_token_files,
