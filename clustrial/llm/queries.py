@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clustrial.llm import packing, pii, quality_rules, simhash, token_files, winnowing
+from clustrial.llm import chat, html_text, packing, pii, quality_mil, quality_rules, samples, simhash, token_files, toxicity, winnowing
 
 
 KEY = "pseudonym key of the checks"  # a real corpus has a secret of its own
@@ -15,6 +15,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(_table(spark, sf_dir, "conversations"))
+
+
+def op2_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.train(samples.labelled_texts(docs, labels, "toxic", folds=3, held_out=1))
+    held_out = (samples.fold("doc_id", 3) == 1).alias("held_out")
+    return toxicity.classify(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
 def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.pseudonymise(_table(spark, sf_dir, "documents"), KEY)
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("pii_found", lambda x: x["kind"]))), ",")
@@ -43,20 +54,36 @@ def op7_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, base.alias("base_failed"), "kept")
 
 
+def op8_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = quality_mil.train(samples.labelled_texts(docs, labels, "quality", folds=5, held_out=0))
+    held_out = (samples.fold("doc_id", 5) == 0).alias("held_out")
+    return quality_mil.classify(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
+def op9_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES = {
+    "op1_chat_snapshots": op1_chat_snapshots,
+    "op2_subword_toxicity": op2_subword_toxicity,
     "op3_feistel_pseudonyms": op3_feistel_pseudonyms,
     "op4_winnowing": op4_winnowing,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_token_files": op6_token_files,
     "op7_rule_ledger": op7_rule_ledger,
+    "op8_attention_quality": op8_attention_quality,
+    "op9_layout_text": op9_layout_text,
     "op10_simhash": op10_simhash,
 }
 ORACLES = {
+    "op1_chat_snapshots": chat.ORACLE,
     "op7_rule_ledger": quality_rules.ORACLE,
     "op4_winnowing": winnowing.ORACLE,
 }

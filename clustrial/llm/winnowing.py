@@ -211,6 +211,21 @@ def contamination(
     ).drop("_row")
 
 
+def drop_contaminated(
+    df: DataFrame,
+    items: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """The rows of ``df``, all columns, without those that hold a window of an item."""
+    windows, _ = benchmark_windows(items)
+    found = occurrences(df, windows, id_column, text_column, broadcast_bytes)
+    hit = store(found.filter("start is not null").select("id", "print").distinct(), "contaminated")
+    same_text = F.xxhash64(F.col(text_column), F.length(F.col(text_column))) == F.col("print")
+    return df.join(hit, F.col(id_column).eqNullSafe(F.col("id")) & same_text, "left_anti")
+
+
 _SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE = f"""
