@@ -98,26 +98,19 @@ class Trial:
 
     @cached_property
     def allocation(self) -> DataFrame:
-        return store(
-            trial.select_and_allocate(self.clusters, t.EXCLUDED, t.TRIAL_SIZE, t.SEED),
-            "allocation",
-        )
+        return trial.select_and_allocate(self.clusters, t.EXCLUDED, t.TRIAL_SIZE, t.SEED)
 
     @cached_property
     def members(self) -> DataFrame:
-        return store(trial.trial_members(self.allocation, self.teams), "members")
+        return trial.trial_members(self.allocation, self.teams)
 
     @cached_property
     def outcomes(self) -> DataFrame:
-        return store(
-            trial.combined_outcomes(self.monthly, self.members, t.PERIODS), "outcomes"
-        )
+        return trial.combined_outcomes(self.monthly, self.members, t.PERIODS)
 
     @cached_property
     def outcomes_by_measure(self) -> DataFrame:
-        return store(
-            trial.outcomes_by_measure(self.monthly, self.members, t.PERIODS), "by-measure"
-        )
+        return trial.outcomes_by_measure(self.monthly, self.members, t.PERIODS)
 
     @cached_property
     def timetable(self) -> DataFrame:
@@ -138,7 +131,7 @@ class Trial:
     def units(self) -> DataFrame:
         dates = self.timetable.select("joint_id", parse_visit_date("date").alias("date"))
         sizes = engagement.cluster_list_sizes(self.members, self.list_sizes)
-        return engagement.pair_visit_dates(self.members, dates, sizes, few_units=True)
+        return engagement.pair_visit_dates(self.members, dates, sizes)
 
     @cached_property
     def trial_practices(self) -> DataFrame:
@@ -149,11 +142,8 @@ class Trial:
     @cached_property
     def page_view_grid(self) -> DataFrame:
         views = engagement.parse_page_views(t.page_views(self.spark, self.sf_dir))
-        return store(
-            engagement.cluster_page_views(
-                views, self.members, self.trial_practices, self.units, t.PAGE_WINDOW
-            ),
-            "page-view-grid",
+        return engagement.cluster_page_views(
+            views, self.members, self.trial_practices, self.units, t.PAGE_WINDOW
         )
 
     @cached_property
@@ -387,7 +377,7 @@ def secondary_arm_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def top3_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_measure = Trial(spark, sf_dir).outcomes_by_measure
     top = top_per_group(
-        by_measure, ["joint_id"], "baseline_calc_value", 3, "measure_rank", small_groups=True
+        by_measure, ["joint_id"], "baseline_calc_value", 3, "measure_rank"
     )
     return rounded(top.select("joint_id", "measure", "baseline_calc_value", "measure_rank"))
 

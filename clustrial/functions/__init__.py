@@ -3,6 +3,7 @@
 from clustrial.functions.missing import (
     cap_at,
     has_keys,
+    nan_as_missing,
     indicator,
     quoted,
     ratio,
@@ -37,6 +38,7 @@ __all__ = [
     "days_between",
     "event_window",
     "has_keys",
+    "nan_as_missing",
     "indicator",
     "month_range",
     "org_id",

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,13 @@ def text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def nan_as_missing(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+    """NaN, which frames made from pandas hold for a missing number, turned into null."""
+    named = None if columns is None else set(columns)
+    floats = [c for c, kind in df.dtypes if kind in ("float", "double") and (named is None or c in named)]
+    return df.withColumns({c: F.expr(f"nanvl({quoted(c)}, NULL)") for c in floats}) if floats else df
+
+
 def has_keys(columns: Iterable[str]) -> Column:
     """True where no key is null: grouping leaves out rows with a null key."""
     return F.expr(" AND ".join(f"{quoted(c)} IS NOT NULL" for c in columns) or "true")
@@ -37,8 +44,9 @@ def ratio(numerator: str, denominator: str) -> Column:
 
 
 def cap_at(value: str, cap: float | None) -> Column:
-    """The value where it is below the cap, else the cap; null becomes the cap."""
+    """The value where it is below the cap, else the cap; null and NaN become the cap."""
     number, limit = F.col(value).cast("double"), F.lit(cap).cast("double")
+    # NaN counts as greater than any number, so it becomes the cap as null does.
     return F.when(number < limit, number).otherwise(limit)
 
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clustrial.functions import has_keys, quoted
+from clustrial.functions import has_keys, nan_as_missing, quoted
 from clustrial.functions.tails import f_upper, t_quantile, t_two_sided
 from clustrial.sources.tables import SLICE, store, store_in_slices
 
@@ -24,28 +24,47 @@ class OlsFit:
 
     fits: DataFrame
     x: Sequence[str]
-    by: Sequence[str]
+    by: Sequence[str]  # under the names _GROUP + place in ``fits``
     confidence: float
 
     @cached_property
     def coefficients(self) -> DataFrame:
         """One row per term: estimate, standard error, t, p and confidence interval."""
-        by, terms, confidence = list(self.by), ["Intercept", *self.x], self.confidence
-        return self.fits.mapInPandas(
-            lambda batches: _term_rows(batches, by, terms, confidence), self._schema(TERM_FIELDS)
+        by, terms, confidence = self._keys, ["Intercept", *self.x], self.confidence
+        return self._named(
+            self.fits.mapInPandas(
+                lambda batches: _term_rows(batches, by, terms, confidence),
+                self._schema(TERM_FIELDS),
+            )
         )
 
     @cached_property
     def model(self) -> DataFrame:
         """One row per model: fit, information criteria and residual tests."""
-        by, k = list(self.by), len(self.x)
-        return self.fits.mapInPandas(
-            lambda batches: _model_rows(batches, by, k), self._schema(MODEL_FIELDS)
+        by, k = self._keys, len(self.x)
+        return self._named(
+            self.fits.mapInPandas(
+                lambda batches: _model_rows(batches, by, k), self._schema(MODEL_FIELDS)
+            )
         )
 
+    @property
+    def _keys(self) -> list[str]:
+        return _group_names(self.by)
+
+    def _named(self, df: DataFrame) -> DataFrame:
+        """Group columns under their own names; a result of the same name gets a ``_``."""
+        results = [f"{c}_" if c in self.by else c for c in df.columns[len(self.by) :]]
+        return df.toDF(*self.by, *results)
+
     def _schema(self, fields: str) -> str:
         kinds = dict(self.fits.dtypes)
-        return ", ".join([*[f"`{name}` {kinds[name]}" for name in self.by], fields])
+        return ", ".join([*[f"`{name}` {kinds[name]}" for name in self._keys], fields])
+
+
+def _group_names(by: Sequence[str]) -> list[str]:
+    """Names for the group columns that no other column of a fit has."""
+    return [f"_group_{i}" for i in range(len(by))]
 
 
 def _moments(rows: DataFrame, variables: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -303,24 +322,26 @@ def fit_ols(
 ) -> OlsFit:
     """Fit ``y ~ 1 + x`` for each group of ``by``.
 
-    Rows with a null input or group are left out. ``order_by`` names the row order the
-    Durbin-Watson statistic refers to; without it that statistic is null. The narrow
-    input is stored once; moments and residual sums are then two aggregations over it,
-    and only one row per group ever reaches Python. With ``order_by`` the table is
+    Rows with a missing input or group (null or NaN) are left out; group and input columns
+    may have any names. ``order_by`` names the row order the Durbin-Watson statistic refers
+    to; without it that statistic is null, and moments and residual sums are two
+    aggregations over ``df``, which is worth storing first if it is long in the making.
+    Only one row per group ever reaches Python. With ``order_by`` the narrow input is
     stored in ordered slices, so neighbours are compared inside slices and at their
     seams, and a group holding a third of the rows is spread over many tasks.
     """
     variables = [y, *x]
     names = ["y", *[f"x{i}" for i in range(len(x))]]
-    rows = df.where(has_keys([*by, *variables])).select(
-        *by,
+    place = [F.col(quoted(c)).alias(f"p{i}") for i, c in enumerate([*order_by, *variables])]
+    groups, by = by, _group_names(by)
+    rows = df.select(
+        *[F.col(quoted(c)).alias(name) for c, name in zip(groups, by)],
         *[F.expr(f"CAST({quoted(v)} AS DOUBLE) AS {name}") for v, name in zip(variables, names)],
-        *([F.struct(*order_by, *variables).alias("place")] if order_by else []),
+        *([F.struct(*place).alias("place")] if order_by else []),
     )
+    rows = nan_as_missing(rows, [*by, *names]).where(has_keys([*by, *names]))
     if order_by:
         rows = store_in_slices(rows, [*by, "place"], "ols")
-    else:
-        rows = store(rows, "ols")
 
     kinds = dict(rows.dtypes)
     schema = ", ".join([*[f"`{name}` {kinds[name]}" for name in by], SOLVED_FIELDS])
@@ -334,7 +355,7 @@ def fit_ols(
         solved = _constants(solved)
         sums = _residual_sums(rows, solved, "y", names[1:], by, bool(order_by))
         fits = sums.withColumns(solved)
-    return OlsFit(fits, x, by, confidence)
+    return OlsFit(fits, x, groups, confidence)
 
 
 def _constants(solved: DataFrame) -> dict[str, Column]:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clustrial.functions import has_keys, quoted
+from clustrial.functions import has_keys, nan_as_missing, quoted
 from clustrial.sources import tables
 from clustrial.sources.tables import SLICE
 
@@ -20,6 +20,7 @@ def value_positions(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFr
     a running count inside each slice is added to the count of the slices before it.
     The only window not cut into slices runs over slice totals: one row per slice.
     """
+    df = nan_as_missing(df, [value])
     counts = (
         df.where(has_keys([*by, value])).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
     )
@@ -62,27 +63,22 @@ def add_rank(
     method: str = "average",
     pct: bool = False,
     ascending: bool = True,
-    stored: bool = False,
 ) -> DataFrame:
-    """Rank rows within their group, at any size; null values get no rank.
+    """Rank rows within their group, at any size; missing values get no rank.
 
     ``method`` is ``average`` (ties share their mean position) or ``min``; ``pct``
     divides by the number of ranked values. The frame is stored first, because the
-    ranks are joined back by value; ``stored=True`` says it was read from a table. If
-    it turns out to have few rows they are ranked by one window instead.
+    ranks are joined back by value. Rows without value or group go round the join.
     """
-    if stored:
-        base, rows = df, None
-    else:
-        base, rows = tables.store_counted(df, "ranked")
-    if rows is not None and rows <= tables.SMALL_ROWS:
-        return base.withColumn(name, window_rank(value, by, method, pct, ascending))
+    base = tables.store(nan_as_missing(df, [value]), "ranked")
     ranks = value_positions(base, value, by).select(
         *by,
         value,
         _rank(F.col("n"), F.col("before"), F.col("total"), method, pct, ascending).alias(name),
     )
-    return base.join(ranks, [*by, value], "left").select(*df.columns, name)
+    known = has_keys([*by, value])
+    ranked = base.where(known).join(ranks, [*by, value], "left").select(*df.columns, name)
+    return ranked.union(base.where(~known).withColumn(name, F.lit(None).cast("double")))
 
 
 def window_rank(
@@ -94,8 +90,7 @@ def window_rank(
 ) -> Column:
     """The same rank as one window, for groups whose size is fixed by construction.
 
-    Use it behind ``limit(k)`` or for groups of at most one row per measure;
-    ``add_rank`` is for everything else.
+    Use it behind ``limit(k)``; ``add_rank`` is for everything else.
     """
     keys = [quoted(c) for c in by]
     v, known = quoted(value), f"{quoted(value)} IS NOT NULL"
@@ -127,6 +122,7 @@ def quantiles(
     task holds a group's values. ``accuracy`` switches to the approximate aggregate.
     """
     if accuracy is not None:
+        df = nan_as_missing(df, [value])
         return (
             df.where(has_keys([*by]))
             .groupBy(*by)

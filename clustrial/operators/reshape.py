@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clustrial.functions import has_keys, quoted, text
+from clustrial.functions import has_keys, nan_as_missing, quoted, text
 
 
 def flatten_names(df: DataFrame, strip: str = "_") -> DataFrame:
@@ -28,7 +28,7 @@ def pivot_sums(
     a label the unit has no rows for stays null. Rows with a null key or label are
     dropped, so a unit without any data disappears. One aggregation, one shuffle.
     """
-
+    df = nan_as_missing(df, [*keys, label, *values])
     return (
         df.where(has_keys([*keys, label]))
         .groupBy(*keys)
@@ -72,6 +72,7 @@ def pivot_dense(
         for of in categories
     ]
     array = ", ".join(f"named_struct({block})" for block in blocks)
+    totals = nan_as_missing(totals, [*units, *values])
     return (
         totals.where(has_keys([*units]))
         .groupBy(*units)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clustrial.functions import cap_at, has_keys
+from clustrial.functions import cap_at, has_keys, nan_as_missing
 from clustrial.operators.positions import quantiles
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
@@ -18,7 +18,7 @@ def _melt(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value"))
         for c in columns
     ]
-    return df.select(F.inline(F.array(*pairs)))
+    return nan_as_missing(df.select(F.inline(F.array(*pairs))), ["value"])
 
 
 def describe(
@@ -45,6 +45,7 @@ def describe(
 
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """Counts in equal-width bins from minimum to maximum, empty bins included."""
+    df = nan_as_missing(df, [column])
     span = df.agg(F.min(column).cast("double"), F.max(column).cast("double")).first()
     if span[0] is None:
         return df.sparkSession.createDataFrame(
@@ -93,6 +94,7 @@ def winsorise(
 
 
 def group_means(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
+    df = nan_as_missing(df, columns)
     return (
         df.where(has_keys([group])).groupBy(group).agg(*[F.avg(c).alias(c) for c in columns])
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clustrial.operators.positions import add_rank, window_rank
+from clustrial.operators.positions import add_rank
 
 
 def top_units(
@@ -24,15 +24,11 @@ def top_per_group(
     value: str,
     k: int,
     rank: str = "rank",
-    small_groups: bool = False,
 ) -> DataFrame:
     """Rows ranked ``k`` or better in their group, highest value first.
 
     Ties share a mean rank and nulls have none, so a group may give fewer or more
-    than ``k`` rows. ``small_groups`` says group sizes are fixed by construction.
+    than ``k`` rows.
     """
-    if small_groups:
-        ranked = df.withColumn(rank, window_rank(value, group, ascending=False))
-    else:
-        ranked = add_rank(df, value, rank, group, ascending=False)
+    ranked = add_rank(df, value, rank, group, ascending=False)
     return ranked.where(F.col(rank) <= k)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clustrial.functions import has_keys, quoted
+from clustrial.functions import has_keys, nan_as_missing, quoted
 
 
 def arm_summary(
@@ -17,6 +17,7 @@ def arm_summary(
     sums: bool = False,
 ) -> DataFrame:
     """Units, mean and sample SD before and after, and the change of the mean."""
+    df = nan_as_missing(df, [arm, before, after])
     moments = [
         F.expr(f"{function}({quoted(c)}) AS {quoted(f'{c}_{name}')}")
         for c in (before, after)
@@ -37,6 +38,7 @@ def rounded_summary(
     df: DataFrame, arm: str, columns: list[str], unit: str = "joint_id", places: int = 1
 ) -> DataFrame:
     """Units, mean and sample SD of several columns by arm, rounded half to even."""
+    df = nan_as_missing(df, [arm, *columns])
     return (
         df.where(has_keys([arm]))
         .groupBy(arm)

@@ -17,7 +17,7 @@ from clustrial.functions import (
     sum_or_zero,
 )
 from clustrial.operators.clusters import roll_up
-from clustrial.operators.positions import add_rank, window_rank
+from clustrial.operators.positions import add_rank
 from clustrial.operators.reshape import pivot_dense
 from clustrial.operators.robust import winsorise
 from clustrial.sources.tables import store
@@ -33,7 +33,7 @@ def cluster_list_sizes(members: DataFrame, list_sizes: DataFrame) -> DataFrame:
 
 
 def pair_visit_dates(
-    members: DataFrame, timetable: DataFrame, sizes: DataFrame, few_units: bool = False
+    members: DataFrame, timetable: DataFrame, sizes: DataFrame
 ) -> DataFrame:
     """One row per cluster with ``date_int``, its own or its partner's visit date.
 
@@ -47,10 +47,7 @@ def pair_visit_dates(
         .distinct()
         .join(sizes, "joint_id")
     )
-    if few_units:
-        ranked = store(units.withColumn("size_rank", window_rank("list_size", ["allocation"])))
-    else:
-        ranked = add_rank(units, "list_size", "size_rank", ["allocation"])
+    ranked = add_rank(units, "list_size", "size_rank", ["allocation"])
     visited = ranked.where(F.col("allocation") == "I").select(
         "size_rank", F.col("date").alias("date_int")
     )

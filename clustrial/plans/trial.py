@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clustrial.functions import Periods, classify_period, indicator, month_range, ratio
-from clustrial.operators.allocation import allocate
+from clustrial.operators.allocation import arms, seeded_draw
 from clustrial.operators.clusters import (
     ARM_CODES,
     expand_roster,
@@ -19,7 +19,7 @@ from clustrial.operators.clusters import (
 )
 from clustrial.operators.measures import combine_measures
 from clustrial.operators.ols import OlsFit, fit_ols
-from clustrial.operators.positions import add_rank
+from clustrial.operators.positions import add_rank, window_rank
 from clustrial.operators.reshape import pivot_sums
 from clustrial.operators.selection import top_per_group, top_units
 from clustrial.operators.summary import arm_summary, rounded_summary
@@ -82,11 +82,13 @@ def rank_clusters(clusters: DataFrame) -> DataFrame:
 
 
 def select_and_allocate(
-    clusters: DataFrame, excluded: list[str], k: int = 40, seed: int = 321
+    clusters: DataFrame, excluded: list[str], k: int, seed: int
 ) -> DataFrame:
     """The ``k`` highest ranked clusters outside the exclusions, allocated to arms."""
     chosen = top_units(rank_clusters(clusters), "baseline_ranking", "joint_id", k, excluded)
-    return allocate(chosen, seed=seed, few_units=True)
+    # At most k rows are left, so one window ranks their draws.
+    drawn = chosen.withColumn("draw", seeded_draw("joint_id", seed))
+    return arms(drawn.withColumn("allocation_ranking", window_rank("draw")))
 
 
 def visit_list(allocation: DataFrame, names: DataFrame, teams: DataFrame) -> DataFrame:
@@ -155,7 +157,7 @@ def top_measures(by_measure: DataFrame, k: int = 3) -> DataFrame:
     covers, is averaged.
     """
     chosen = top_per_group(
-        by_measure, ["joint_id"], "baseline_calc_value", k, "measure_rank", small_groups=True
+        by_measure, ["joint_id"], "baseline_calc_value", k, "measure_rank"
     )
     return (
         chosen.groupBy("joint_id", "allocation", "intervention")

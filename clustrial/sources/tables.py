@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 SLICE = "_slice"
-SMALL_ROWS = 100_000  # a group of this many rows may be ordered by one task
+SLICE_BYTES = 64 << 20  # input of a slice, as it lies on disk
+MIN_SLICES = 4
 
 
 def read_table(
@@ -93,16 +94,21 @@ def store_counted(df: DataFrame, label: str = "table") -> tuple[DataFrame, int]:
     return stored, seen.get["rows"]
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of all tables that ``df`` reads, as far as their size is known."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.length())]
+    return sum(size for size in sizes if size < 1 << 60)
+
+
 def store_in_slices(df: DataFrame, keys: Sequence[str], label: str = "slices") -> DataFrame:
     """Store ``df`` range-partitioned by ``keys``, with the range number in ``_slice``.
 
     Slices are ordered: every key in slice i sorts before every key in slice j > i.
     Ranges follow the data, so a group holding a third of the rows spans many slices.
     The number is written with the row, hence stable in everything read from it.
-    A table of at most ``SMALL_ROWS`` rows is a single slice.
+    There are as many slices as the input has ``SLICE_BYTES``, at least ``MIN_SLICES``.
     """
-    stored, rows = store_counted(df, label)
-    if rows <= SMALL_ROWS:
-        return stored.withColumn(SLICE, F.lit(0))
-    ranged = stored.repartitionByRange(*keys).withColumn(SLICE, F.spark_partition_id())
+    slices = max(MIN_SLICES, -(-input_bytes(df) // SLICE_BYTES))
+    ranged = df.repartitionByRange(slices, *keys).withColumn(SLICE, F.spark_partition_id())
     return store(ranged, label)

@@ -20,17 +20,14 @@ def spark(checkpoint_dir):
 
 @pytest.fixture
 def many_slices(spark, monkeypatch):
-    """Cut every ordered table into as many slices as there are shuffle partitions."""
-    monkeypatch.setattr(tables, "SMALL_ROWS", 0)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    yield
-    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    """Cut every ordered table into more slices than it has by itself."""
+    monkeypatch.setattr(tables, "MIN_SLICES", 9)
 
 
-@pytest.fixture(params=["one task", "sliced"])
+@pytest.fixture(params=["few slices", "many slices"])
 def sliced(request):
-    """Run a test with small-table windows, and again with every table cut into slices."""
-    if request.param == "sliced":
+    """Run a test with the least number of slices, and again with more."""
+    if request.param == "many slices":
         request.getfixturevalue("many_slices")
     return request.param
 

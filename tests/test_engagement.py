@@ -109,12 +109,11 @@ def test_controls_take_the_date_of_the_equally_ranked_visit(spark, sliced):
     timetable = spark.createDataFrame(
         [("a", date(2018, 11, 1)), ("b", None)], "joint_id STRING, date DATE"
     )
-    for few in (True, False):
-        out = pair_visit_dates(members, timetable, sizes, few_units=few)
-        assert rows(out, "joint_id", "size_rank", "date_int") == [
-            ("a", 2.0, date(2018, 11, 1)), ("b", 1.0, None), ("c", 1.0, None),
-            ("d", 2.0, date(2018, 11, 1)), ("e", 3.0, None),
-        ]
+    out = pair_visit_dates(members, timetable, sizes)
+    assert rows(out, "joint_id", "size_rank", "date_int") == [
+        ("a", 2.0, date(2018, 11, 1)), ("b", 1.0, None), ("c", 1.0, None),
+        ("d", 2.0, date(2018, 11, 1)), ("e", 3.0, None),
+    ]
 
 
 def test_tied_sizes_match_equal_half_ranks_only(spark):
@@ -126,7 +125,7 @@ def test_tied_sizes_match_equal_half_ranks_only(spark):
     sizes = spark.createDataFrame(
         [("a", 1.0), ("b", 1.0), ("c", 1.0), ("d", 2.0)], "joint_id STRING, list_size DOUBLE"
     )
-    out = pair_visit_dates(members, timetable, sizes, few_units=True)
+    out = pair_visit_dates(members, timetable, sizes)
     assert rows(out.where("allocation = 'con'"), "joint_id", "size_rank", "date_int") == [
         ("c", 1.0, None), ("d", 2.0, None),
     ]

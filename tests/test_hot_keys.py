@@ -62,7 +62,7 @@ def hot_trial(spark, hot_dir):
 @pytest.fixture
 def shuffled_joins(spark, monkeypatch, hot_trial):
     """No broadcasts, small skew limits, and every ordered table cut into slices."""
-    monkeypatch.setattr(tables, "SMALL_ROWS", 0)
+    monkeypatch.setattr(tables, "MIN_SLICES", 9)
     monkeypatch.setattr(queries_module, "Trial", lambda *_: hot_trial)
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
