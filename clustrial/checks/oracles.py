@@ -8,8 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from clustrial.checks.tables import REGISTRY
-
+KINDS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+# Measure and rule: each kind of part in three ranges of size, and two sets of brands.
+REGISTRY = {f"{kind.lower()}_s": f"p_type = '{kind}' AND p_size <= 16" for kind in KINDS}
+REGISTRY |= {f"{kind.lower()}_m": f"p_type = '{kind}' AND p_size BETWEEN 17 AND 33" for kind in KINDS}
+REGISTRY |= {f"{kind.lower()}_l": f"p_type = '{kind}' AND p_size > 33" for kind in KINDS}
+REGISTRY |= {
+    "brand_7": "p_brand = 'Brand#7'",
+    "brand_1x": "p_brand = 'Brand#11' OR p_brand = 'Brand#12' OR p_brand = 'Brand#13'",
+}
 BASELINE, MID, FOLLOW_UP, AFTER = "1997-04-01", "1997-10-01", "1998-04-01", "1998-10-01"
 EXCLUDED = "('01A', '02B', '03F')"
 
@@ -866,4 +873,35 @@ ORACLES: dict[str, str] = {
                max(CASE WHEN json_extract_string(props, '$.k') = '99' THEN 1 ELSE 0 END) = 1
                  AS complete
         FROM events GROUP BY day""",
+    "report_flatten_mixed": _with(
+        "SELECT day, event_type, CAST(hits AS DOUBLE) AS hits_0, amount AS amount_0, "
+        "CAST(late_hits AS DOUBLE) AS hits_1, late_amount AS amount_1, hits / 2 AS hits_2, "
+        "CAST(NULL AS DOUBLE) AS amount_2 FROM cells",
+        ("cells", _reports),
+    ),
+    "ols_lines_by_e": """
+        WITH lines AS (
+          SELECT l_returnflag AS e, l_orderkey, l_linenumber, l_extendedprice AS y, l_quantity AS x
+          FROM lineitem),
+        fits AS (
+          SELECT e, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_r2(y, x) AS r2, count(*) AS n,
+                 sum(x) AS sx, sum(x * x) AS sxx FROM lines GROUP BY e),
+        left_over AS (
+          SELECT e, y - a - b * x AS r,
+                 lag(y - a - b * x) OVER (PARTITION BY e ORDER BY l_orderkey, l_linenumber, y, x) AS before
+          FROM lines JOIN fits USING (e)),
+        steps AS (
+          SELECT e, sum((r - before) * (r - before)) / sum(r * r) AS dw FROM left_over GROUP BY e)
+        SELECT e, n, round(r2, 6) AS r2, round(dw, 6) AS durbin_watson,
+               round(sqrt((n + sxx + sqrt((n + sxx) * (n + sxx) - 4 * (n * sxx - sx * sx)))
+                 / (n + sxx - sqrt((n + sxx) * (n + sxx) - 4 * (n * sxx - sx * sx)))), 4) AS cond_no
+        FROM fits JOIN steps USING (e)""",
+    "describe_with_nan": """
+        WITH v AS (
+          SELECT CASE WHEN l_linenumber % 3 <> 0 THEN l_extendedprice END AS price FROM lineitem)
+        SELECT 'price' AS variable, count(price) AS count, round(avg(price), 4) AS mean,
+               round(stddev_samp(price), 4) AS std, round(min(price), 4) AS min,
+               round(quantile_cont(price, 0.25), 4) AS p25, round(quantile_cont(price, 0.5), 4) AS p50,
+               round(quantile_cont(price, 0.75), 4) AS p75, round(max(price), 4) AS max
+        FROM v""",
 }

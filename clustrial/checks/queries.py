@@ -464,6 +464,25 @@ def ols_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fit.model.drop("cond_no"), 5)
 
 
+def ols_lines_by_e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model lines over all order lines in order, grouped by a column called ``e``."""
+    lines = t.table(
+        spark, sf_dir, "lineitem",
+        "l_returnflag", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity",
+    ).withColumnRenamed("l_returnflag", "e")
+    fit = fit_ols(
+        lines, "l_extendedprice", ["l_quantity"], by=["e"], order_by=["l_orderkey", "l_linenumber"]
+    )
+    return rounded(fit.model.select("e", "n", "r2", "durbin_watson", "cond_no"), 6, cond=4)
+
+
+def describe_with_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third line's price is NaN, and counts as missing."""
+    lines = t.table(spark, sf_dir, "lineitem", "l_linenumber", "l_extendedprice")
+    price = F.when(F.col("l_linenumber") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("l_extendedprice").cast("double"))
+    return rounded(describe(lines.select(price.alias("price")), ["price"]), 4)
+
+
 def ols_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
     fit = trial.compare_arms(
         Trial(spark, sf_dir).outcomes, "baseline_calc_value", "follow_up_calc_value"
@@ -727,7 +746,10 @@ def reports(spark: SparkSession, sf_dir: str, ranges: int = 1) -> DataFrame:
             F.coalesce(F.col("late_amount").cast("string"), F.lit("")),
         ).alias("values")
     )
-    metrics = F.array(whole, late) if ranges > 1 else F.array(whole)
+    half = F.struct(
+        F.array((F.col("hits") / 2).cast("string"), F.lit("")).alias("values")
+    )
+    metrics = F.array(*[whole, late, half][:ranges])
     row = F.struct(
         F.array(F.date_format("day", "yyyyMMdd"), F.col("event_type")).alias("dimensions"),
         metrics.alias("metrics"),
@@ -789,6 +811,18 @@ def report_flatten_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def report_flatten_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three date ranges, the last with halves in a metric that is whole in the others."""
+    names = [f"{name}_{i}" for i in range(3) for name in ("hits", "amount")]
+    return flatten_report(
+        reports(spark, sf_dir, ranges=3),
+        DIMENSIONS,
+        dict.fromkeys(METRICS, "double"),
+        ranges=3,
+        names=["day", "event_type", *names],
+    )
+
+
 def report_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling_notice(reports(spark, sf_dir))
 
@@ -834,6 +868,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         ols_by_measure,
         ols_model,
         ols_pvalues,
+        ols_lines_by_e,
+        describe_with_nan,
         ols_order_lines,
         sensitivity_flag,
         sensitivity_flag_items,
@@ -861,6 +897,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         csv_roundtrip,
         report_flatten,
         report_flatten_ranges,
+        report_flatten_mixed,
         report_sampling,
         report_pages,
     )

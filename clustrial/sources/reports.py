@@ -25,14 +25,14 @@ def _report(json: str) -> Column:
 
 
 def parse_number(text: Column, kind: str) -> Column:
-    """Text to ``bigint`` or ``double``; empty text gives null.
-
-    A column has one type: ``bigint`` takes whole numbers only, as text with a
-    decimal point is a float.
-    """
+    """Text to ``bigint`` or ``double``; empty text gives null, any other that does not fit
+    the type an error, so that no value is lost unnoticed."""
+    number = text.try_cast(kind)
     if kind == "bigint":
-        return F.when(~text.contains("."), text.try_cast("bigint"))
-    return text.try_cast("double")
+        number = F.when(~text.contains("."), number)
+    wrong = (F.length(text) > 0) & number.isNull()
+    message = F.concat(F.lit(f"not a {kind}: "), text)
+    return F.when(wrong, F.raise_error(message).cast(kind)).otherwise(number)
 
 
 def flatten_report(
@@ -46,7 +46,8 @@ def flatten_report(
 ) -> DataFrame:
     """One row per report row, one column per dimension and per metric and date range.
 
-    ``metrics`` maps each metric name to ``bigint`` or ``double``. With several date
+    ``metrics`` maps each metric name to ``bigint`` or ``double``; text that does not fit,
+    and a row with more date ranges than ``ranges``, is an error. With several date
     ranges the columns are called ``<metric>_range_<i>``. Columns named ``ga:date*``
     become dates; ``names`` renames all columns by position. ``dedupe=False`` repeats
     every row once per metric and date range, as the original script did.
@@ -60,6 +61,11 @@ def flatten_report(
         F.col("r.columnHeader.metricHeader.metricHeaderEntries.name").alias("metric_names"),
         F.explode("r.data.rows").alias("row"),
     )
+    too_many = F.size("row.metrics") > ranges
+    message = F.concat(F.lit(f"more than {ranges} date ranges: "), F.size("row.metrics"))
+    rows = rows.withColumn(
+        "row", F.when(too_many, F.raise_error(message).cast(rows.schema["row"].dataType)).otherwise(F.col("row"))
+    )
 
     def value_of(header: str, values: Column, name: str) -> Column:
         position = F.array_position(F.col(header), name).cast("int")

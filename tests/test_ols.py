@@ -175,3 +175,21 @@ def test_tails_equal_textbook_values():
     # With two numerator degrees of freedom the tail has a closed form.
     np.testing.assert_allclose(f_upper(1.7, 2, 37), (1 + 2 * 1.7 / 37) ** (-37 / 2), rtol=1e-12)
     assert f_upper(0.0, 2, 37) == 1.0 and t_two_sided(np.array([0.0]), np.array([5.0]))[0] == 1.0
+
+
+@pytest.mark.parametrize("name", ["e", "n", "y", "coef", "place", "x0", "step", "means", "_slice"])
+def test_group_columns_may_have_any_name(spark, name):
+    pdf = pd.DataFrame({"a": [1.0, 2, 3, 4, 5, 6, 7, 9], "b": [2.0, 1, 4, 3, 7, 8, 1, 5], "g": [1, 1, 1, 1, 2, 2, 2, 2]})
+    want = fit_ols(spark.createDataFrame(pdf), "a", ["b"], by=["g"], order_by=["b"])
+    fit = fit_ols(spark.createDataFrame(pdf.rename(columns={"g": name})), "a", ["b"], by=[name], order_by=["b"])
+    for got, expected in ((fit.coefficients, want.coefficients), (fit.model, want.model)):
+        assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, (tuple(r) for r in expected.collect())))
+        assert got.columns[0] == name
+
+
+def test_nan_rows_are_left_out(spark):
+    rows_ = [(float(k), float(k * k)) for k in range(9)]
+    clean = fit_ols(spark.createDataFrame(rows_, "x double, y double"), "y", ["x"]).coefficients.collect()
+    dirty = [*rows_, (float("nan"), 1.0), (1.0, float("nan")), (None, 2.0)]
+    got = fit_ols(spark.createDataFrame(dirty, "x double, y double"), "y", ["x"]).coefficients.collect()
+    assert [tuple(r)[1:] for r in got] == [pytest.approx(tuple(r)[1:]) for r in clean]

@@ -155,3 +155,14 @@ def test_sampling_and_missing_last_page(spark):
     )
     assert rows(sampling_notice(df)) == [("a", 50)]
     assert rows(unread_pages(df, ["name"])) == [("a", 2, True), ("b", 1, False)]
+
+
+def test_values_and_ranges_that_do_not_fit_are_errors(spark):
+    half = spark.createDataFrame([(_report([(("20181105", "/a"), [("3.5", "1.5")])]),)], "report STRING")
+    assert flatten_report(half, DIMENSIONS, dict.fromkeys(METRICS, "double")).first()[2] == 3.5
+    for df, metrics, ranges in (
+        (half, METRICS, 1),
+        (spark.createDataFrame([(_report([(("20181105", "/a"), [("1", "2"), ("3", "4")])]),)], "report STRING"), METRICS, 1),
+    ):
+        with pytest.raises(Exception, match="not a bigint|more than 1 date ranges"):
+            flatten_report(df, DIMENSIONS, metrics, ranges=ranges).collect()
