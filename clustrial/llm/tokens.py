@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ LONG_CHUNK = 200
 # A space that is neither first in a white-space run nor followed by something visible
 # is the only one that is not the start of a token.
 _INSIDE_RUN = re.compile(r"\s (?:\s|\Z)")
+# Latin letters, then ASCII punctuation: two pre-tokens, whatever follows.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)")
 
 
 def default_tokenizer() -> str:
@@ -22,16 +25,25 @@ def default_tokenizer() -> str:
     return "byte_bpe_50k.json"
 
 
-class TextEncoder:
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE writes each byte as a letter: visible ones as they are, others from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+class TextEncoder(dict):
     """Encodes texts with the tokenizers library, each distinct space-led chunk once.
 
     Byte-level BPE cuts a text before every space that starts a white-space run or precedes
     something visible, so the ids of a text are the ids of its chunks in order. Texts with
-    other spaces are encoded whole. At most ``max_chunks`` chunks are remembered; beyond that
-    the memory is emptied, which changes the speed only.
+    other spaces are encoded whole. A chunk of letters and punctuation goes straight to the
+    library's BPE model, any other through its whole chain. As a dict it holds the ids of at
+    most ``max_chunks`` chunks, and those of as many words; then it is emptied, which changes
+    the speed only.
     """
 
-    def __init__(self, name: str, max_chunks: int = 600_000):
+    def __init__(self, name: str, max_chunks: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -40,31 +52,63 @@ class TextEncoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.max_chunks = max_chunks
-        self.chunks: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in encoded]
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text; a missing text is empty."""
-        cut = [None if _INSIDE_RUN.search(t) else t.split(" ") for t in (x or "" for x in texts)]
-        heads = self._whole([(t or "") if c is None else c[0] for t, c in zip(texts, cut)])
-        needed = set().union(*(c[1:] for c in cut if c))
-        missing = needed.difference(self.chunks)
-        if len(self.chunks) + len(missing) > self.max_chunks:
-            self.chunks, missing = {}, needed
-        missing = list(missing)
-        self.chunks.update(zip(missing, self._whole([" " + m for m in missing])))
-        known = self.chunks.__getitem__
-        out = [
-            np.frombuffer(head if not c else head + b"".join(map(known, c[1:])), self.dtype)
-            for head, c in zip(heads, cut)
-        ]
-        for m in missing:
-            if len(m) > LONG_CHUNK:
-                del self.chunks[m]
-        return out
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.letters = _byte_letters()
+        self.model = self.tokenizer.model
+        self.line_end = self.whole("\n")
+        self.words: dict[str, bytes] = {}  # letters after a space
+        self.tails: dict[str, bytes] = {}  # punctuation
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _letters(self, piece: str) -> bytes:
+        """The ids of a pre-token: letters, with the space before them if any, or punctuation."""
+        written = piece.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(written)]).tobytes()
+
+    def _remembered(self, memory: dict[str, bytes], piece: str, space: str) -> bytes:
+        ids = memory.get(piece)
+        if ids is None:
+            ids = self._letters(space + piece)
+            if len(piece) <= LONG_CHUNK:
+                if len(memory) >= self.max_chunks:
+                    memory.clear()
+                memory[piece] = ids
+        return ids
+
+    def chunk(self, text: str, space: str) -> bytes:
+        """The ids of a text without space inside, after ``space`` or nothing.
+
+        A line end between words is a token of its own, and the next word starts afresh.
+        """
+        plain = _PLAIN.fullmatch(text)
+        if plain:
+            word, tail = plain.groups()
+            ids = self._remembered(self.words, word, space) if space else self._letters(word)
+            return ids + self._remembered(self.tails, tail, "") if tail else ids
+        lines = text.split("\n")
+        if len(lines) > 1 and all(map(_PLAIN.fullmatch, lines)):
+            return self.line_end.join(self.chunk(x, "" if k else space) for k, x in enumerate(lines))
+        return self.whole(space + text)
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.chunk(chunk, " ")
+        if len(chunk) <= LONG_CHUNK:
+            if len(self) >= self.max_chunks:
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """The ids of a text; a missing text is empty."""
+        if not text:
+            return np.empty(0, self.dtype)
+        if _INSIDE_RUN.search(text):
+            return np.frombuffer(self.whole(text), self.dtype)
+        head, *rest = text.split(" ")
+        ids = (self.chunk(head, "") if head else b"") + b"".join(map(self.__getitem__, rest))
+        return np.frombuffer(ids, self.dtype)
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
@@ -89,6 +133,5 @@ def encoded_rows(
     for batch in batches:
         for k in range(0, batch.num_rows, at_once):
             part = batch.slice(k, at_once)
-            end = np.array([END_ID], work.dtype)
-            for key, ids in zip(part.column(0).to_pylist(), work.encode(part.column(1).to_pylist())):
-                yield key, np.concatenate([ids, end])
+            for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                yield key, np.append(work.encode(text), work.dtype.type(END_ID))
