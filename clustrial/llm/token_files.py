@@ -2,29 +2,26 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clustrial.llm.elias_fano import EliasFano
 from clustrial.llm.tokens import crc32, default_tokenizer, encoded_rows
-from clustrial.sources.tables import shared_folder, store
+from clustrial.sources.tables import input_bytes, shared_folder, store
 
 MAGIC = b"EFTOK001"
 # Footer: width of an id, documents, documents without id, smallest id, bytes of both codes.
 _FOOT = "<BQQqQQ8s"
-SHARD_BYTES = 16 << 20
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size of the frame, from the files it reads."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+SHARD_BYTES = 8 << 20  # of input, as read
 
 
 def write_token_files(
@@ -51,10 +48,11 @@ def write_token_files(
     """
     spark = df.sparkSession
     folder = folder or f"{shared_folder(spark)}/token-files/{uuid.uuid4().hex}"
+    folder = folder if re.match(r"[a-z0-9]+:", folder) else "file://" + folder
     name = tokenizer or default_tokenizer()
     docs = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
-    shards = max(1, -(-estimated_bytes(docs) // shard_bytes))
+    shards = max(1, -(-input_bytes(docs) // shard_bytes))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = encoded_rows(batches, name)
@@ -63,9 +61,7 @@ def write_token_files(
             return
         task = TaskContext.get()
         shard = f"shard-{task.partitionId():08d}.eft"
-        from pyarrow import fs
-
-        system, path = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else "file://" + folder)
+        system, path = fs.FileSystem.from_uri(folder)
         system.create_dir(path, recursive=True)
         part = f"{path}/_{shard}.{task.taskAttemptId()}"
         ends, ids, missing, width = [], [], 0, first[1].dtype.itemsize
@@ -104,7 +100,7 @@ def write_token_files(
 class TokenShard:
     """One shard held in memory: ids and places of any of its documents."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: memoryview | bytes):
         width, n, missing, least, starts, keys, magic = struct.unpack_from(_FOOT, data, len(data) - struct.calcsize(_FOOT))
         if magic != MAGIC:
             raise ValueError("not a token shard")
@@ -129,7 +125,7 @@ def read_token_files(
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                shard = TokenShard(data.as_py())
+                shard = TokenShard(memoryview(data.as_buffer()))
                 starts = shard.starts.values().astype(np.int64)
                 keys = shard.document_ids()
                 for k in range(0, shard.n_docs, 1024):
