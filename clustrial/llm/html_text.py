@@ -273,7 +273,7 @@ def render(root: Node) -> str:
                     w.blank = True
             if tag == "hr":
                 w.as_is(["---"])
-                w.apart(1)
+                w.apart(2)
                 continue
             if tag in {"pre", "xmp", "textarea"}:
                 pre += 1
