@@ -755,6 +755,9 @@ ORACLES: dict[str, str] = {
         "flagged", "follow_up_items_thou", ["baseline_items_thou", "flag"]
     ),
     "describe_clusters": _describe("clusters", ["baseline"], 6),
+    "describe_selected": _describe(
+        "allocation", ["baseline", "baseline_ranking", "allocation_ranking", "allocation_code"], 6
+    ),
     "describe_percentiles": _describe("lineitem", ["l_extendedprice", "l_quantity"], 4),
     "histogram_bins": _histogram("orders", "o_totalprice", 4),
     "winsorise_upper": _with(
@@ -856,6 +859,7 @@ ORACLES: dict[str, str] = {
     "csv_roundtrip": """
         SELECT c_custkey, '"' || c_name || '", x' AS c_name, c_nationkey, c_acctbal, c_mktsegment
         FROM customer""",
+    "csv_subset": _with("SELECT code_text AS code, status_code FROM practices"),
     "report_flatten": _with(
         "SELECT day, event_type, hits, amount FROM cells", ("cells", _reports)
     ),

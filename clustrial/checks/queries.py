@@ -47,6 +47,7 @@ from clustrial.sources import (
     unread_pages,
     write_csv,
 )
+from clustrial.sources.schemas import SCHEMAS
 
 
 def rounded(df: DataFrame, places: int = 6, **special: int) -> DataFrame:
@@ -547,6 +548,12 @@ def describe_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(describe(clusters, ["baseline"], PERCENTILES))
 
 
+def describe_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All numbers of the selected clusters."""
+    numbers = ["baseline", "baseline_ranking", "allocation_ranking", "allocation_code"]
+    return rounded(describe(Trial(spark, sf_dir).allocation, numbers, PERCENTILES))
+
+
 def describe_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order values and line quantities of the whole tables."""
     lines = t.table(spark, sf_dir, "lineitem", "l_extendedprice", "l_quantity")
@@ -720,6 +727,14 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv(spark, path, quoted.schema)
 
 
+def csv_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two columns of a practice file, read with its schema."""
+    practices = t.practices(spark, sf_dir).selectExpr("code_text AS code", "ccg_id", "setting", "status_code")
+    path = f"{shared_folder(spark)}/clustrial/csv-{uuid.uuid4().hex}"
+    write_csv(practices, path)
+    return read_csv(spark, path, SCHEMAS["practices"], ["code", "status_code"])
+
+
 def reports(spark: SparkSession, sf_dir: str, ranges: int = 1) -> DataFrame:
     """Nested reports of the events: one page per day and key, one row per event type.
 
@@ -876,6 +891,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         ols_sensitivity_cost,
         ols_sensitivity_items,
         describe_clusters,
+        describe_selected,
         describe_percentiles,
         histogram_bins,
         winsorise_upper,
@@ -895,6 +911,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         ols_size_adjusted_ccg,
         ols_size_adjusted_practice,
         csv_roundtrip,
+        csv_subset,
         report_flatten,
         report_flatten_ranges,
         report_flatten_mixed,
