@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clustrial.sources.tables import store
+from clustrial.sources.tables import input_bytes, store
 
 SPAN = 10  # words of a window, and the shortest span that is always found
 GRAM = 5  # words of a hashed gram
@@ -81,30 +84,82 @@ def benchmark_windows(
     return windows, found.select("window", "item")
 
 
-def _fingerprints(docs: DataFrame, short: list[int]) -> DataFrame:
-    """One row for each kept gram, ``key, place, length``, and one without key for each row.
+def _key_bits(windows: DataFrame, broadcast_bytes: int) -> Column | None:
+    """All keys of the windows as a bit table, or None where their size has no small bound.
 
-    A gram is kept where it becomes the least of the window that starts at ``i``: it enters,
-    or the former least has left. Grams of the short windows' lengths are all kept.
+    The windows' stored bytes, at ten times their size on disk, must stay under
+    ``broadcast_bytes``. The table has at least 128 bits for each key.
     """
-    last = F.col("n") - (1 if short else SPAN)
-    docs = docs.withColumn("i", F.explode(F.sequence(F.lit(-1), F.greatest(F.lit(-1), last))))
-    docs = _kept_place(docs.withColumn("_left", _gram("hashes", F.col("i") - 1, GRAM)), "i")
-    others = F.least(*[f"_g{k}" for k in range(GRAMS - 1)])
-    is_new = (F.col("i") == 0) | (F.col(f"_g{GRAMS - 1}") <= others) | (F.col("_left") < others)
-    whole = (F.col("i") >= 0) & (F.col("i") <= F.col("n") - SPAN) & is_new
-    grams = [F.struct(F.when(whole, F.col("key")).alias("key"), F.col("place"), F.lit(SPAN).alias("length"))]
-    for k in short:
-        fits = (F.col("i") >= 0) & (F.col("i") <= F.col("n") - k)
-        grams.append(
-            F.struct(F.when(fits, _gram("hashes", F.col("i"), k)).alias("key"), F.col("i").alias("place"), F.lit(k).alias("length"))
+    if 10 * input_bytes(windows) > broadcast_bytes:
+        return None
+    keys = [r["key"] for r in windows.select("key").distinct().collect()]
+    size = 1 << max(12, (128 * len(keys)).bit_length())
+    table = np.zeros(size, np.uint8)
+    table[np.array(keys, np.int64) & (size - 1)] = 1
+    longs = np.packbits(table, bitorder="little").view("<i8")
+    return F.split(F.lit(",".join(map(str, longs))), ",").cast("array<bigint>")
+
+
+def _may_match(key: Column, bits: Column | None) -> Column:
+    """False only where no window has the key."""
+    if bits is None:
+        return F.lit(True)
+    in_table = key.bitwiseAND(F.array_size(bits).cast("long") * 64 - 1)
+    long = F.get(bits, F.shiftright(in_table, 6).cast("int"))
+    return F.getbit(long, in_table.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def _short_entries(places: Column, length: int, bits: Column | None, entry: Callable) -> Column:
+    def gram(p: Column) -> Column:
+        return _gram("hashes", p, length)
+
+    near = F.filter(places, lambda p: _may_match(gram(p), bits))
+    return F.transform(near, lambda p: entry(gram(p), p, length))
+
+
+def _fingerprints(docs: DataFrame, short: list[int], bits: Column | None) -> DataFrame:
+    """``id, print, n`` with each kept gram that may match: ``key, place, length, context``.
+
+    Of every ``GRAMS`` grams in a row the least is kept, the last of equals; of the short
+    windows' lengths all grams are. ``context`` are the words round a gram, from ``first``
+    on, that its window can reach. Every row also gives one entry without key.
+    """
+    n_grams = F.greatest(F.lit(0), F.col("n") - (GRAM - 1))
+
+    def counted(n: Column) -> Column:
+        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    def least(p: Column) -> Column:
+        """Whether some ``GRAMS`` grams in a row have the gram at ``p`` as their last least."""
+        starts = F.sequence(F.greatest(p - (GRAMS - 1), F.lit(0)), F.least(p, n_grams - GRAMS))
+
+        def is_least(s: Column) -> Column:
+            around, own = F.slice("grams", s + 1, GRAMS), F.get("grams", p)
+            last = F.lit(GRAMS) - F.array_position(F.reverse(around), own)
+            return (F.array_min(around) == own) & (last == p - s)
+
+        return F.exists(starts, is_least)
+
+    def entry(key: Column, place: Column, length: int) -> Column:
+        reach = SPAN - GRAM if length == SPAN else 0
+        first = F.greatest(F.lit(0), place - reach)
+        return F.struct(
+            key.alias("key"), place.alias("place"), F.lit(length).alias("length"), first.alias("first"),
+            F.slice("words", first + 1, F.lit(SPAN + reach)).alias("context"),
         )
-    if not short:
-        kept = docs.select("id", "print", "words", "n", "i", grams[0].alias("g"))
-    else:
-        kept = docs.select("id", "print", "words", "n", "i", F.explode(F.array(*grams)).alias("g"))
-    is_row = (F.col("i") < 0) & (F.col("g.length") == SPAN)
-    return kept.filter(F.col("g.key").isNotNull() | is_row).select("id", "print", "words", "n", "i", "g.*")
+
+    docs = docs.withColumn("grams", F.transform(counted(n_grams), lambda i: _gram("hashes", i, GRAM)))
+    near = F.filter(
+        counted(n_grams), lambda p: (F.col("n") >= SPAN) & _may_match(F.get("grams", p), bits) & least(p)
+    )
+    entries = [F.transform(near, lambda p: entry(F.get("grams", p), p, SPAN))]
+    for k in short:
+        entries.append(_short_entries(counted(F.col("n") - (k - 1)), k, bits, entry))
+    none = F.array(F.expr("named_struct('key', cast(null as bigint), 'place', 0, 'length', 0, 'first', 0, 'context', array(''))"))
+    listed = docs.select("id", "print", "n", F.concat(none, *entries).alias("entries"))
+    # The outer form, though no list is empty: the plain one adds a filter on the size of the
+    # lists that the optimiser pushes to the scan, where it computes them again, word by word.
+    return listed.select("id", "print", "n", F.explode_outer("entries").alias("e")).select("id", "print", "n", "e.*")
 
 
 def occurrences(
@@ -121,46 +176,26 @@ def occurrences(
 
     Two texts with a window in common keep the same gram of it, the least, at the same place
     within it; so joining kept grams finds every occurrence, and the hit is extended to the
-    window and compared word by word. Windows are broadcast if their stored bytes, at ten
-    times the size on disk, stay under ``broadcast_bytes``; otherwise kept grams are joined by
-    shuffle, without texts, and matches go back to their texts to be compared.
+    window and compared word by word. Where all windows together are small, grams that no
+    window has are dropped before the join by a table of their bits; otherwise all kept
+    grams are joined, by shuffle, each with the words it can reach.
     """
     docs = _with_words(df, id_column, text_column)
     short = sorted(r["length"] for r in windows.filter(F.col("length") < SPAN).select("length").distinct().collect())
-    kept = _fingerprints(docs, short).alias("d")
+    kept = _fingerprints(docs, short, _key_bits(windows, broadcast_bytes)).alias("d")
+    is_row = F.col("d.key").isNull()
     begin = F.col("d.place") - F.col("w.skip")
-    fits = (begin >= 0) & (begin + F.col("w.length") <= F.col("d.n"))
     same_key = (F.col("d.key") == F.col("w.key")) & (F.col("d.length") == F.col("w.length"))
-
-    def agrees(words: Column, start: Column, length: Column, passage: Column) -> Column:
-        return lower_ascii(F.array_join(F.slice(words, start + 1, length), " ")) == passage
-
-    is_row = F.col("d.i") < 0
-    size = 10 * windows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if size <= broadcast_bytes:
-        joined = kept.join(F.broadcast(windows.alias("w")), same_key & fits, "left")
-        same = agrees(F.col("d.words"), begin, F.col("w.length"), F.col("w.passage"))
-        return joined.filter(is_row | (F.col("w.window").isNotNull() & F.coalesce(same, F.lit(False)))).select(
-            "d.id", "d.print", "d.n",
-            F.when(~is_row, begin).alias("start"),
-            F.when(~is_row, F.col("w.length")).alias("length"),
-            F.when(~is_row, F.col("w.window")).alias("window"),
-        )
-    matched = kept.join(windows.alias("w"), same_key & fits).select(
-        "d.id", "d.print", begin.alias("start"), "w.length", "w.window", "w.passage"
-    )
-    listed = matched.distinct().groupBy("id", "print").agg(
-        F.collect_list(F.struct("start", "length", "window", "passage")).alias("matches")
-    )
-    back = docs.alias("d").join(
-        listed.alias("m"), F.col("d.id").eqNullSafe(F.col("m.id")) & (F.col("d.print") == F.col("m.print"))
-    )
-    verified = back.select(
+    fits = (begin >= 0) & (begin + F.col("w.length") <= F.col("d.n"))
+    span = F.slice("d.context", begin - F.col("d.first") + 1, F.col("w.length"))
+    same = F.when(fits, lower_ascii(F.array_join(span, " ")) == F.col("w.passage"))
+    joined = kept.join(windows.alias("w"), same_key, "left")
+    return joined.filter(is_row | F.coalesce(same, F.lit(False))).select(
         "d.id", "d.print", "d.n",
-        F.explode(F.filter("m.matches", lambda x: agrees(F.col("d.words"), x["start"], x["length"], x["passage"]))).alias("x"),
-    ).select("id", "print", "n", "x.start", "x.length", "x.window")
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("start", "int"), ("length", "int"), ("window", "string"))]
-    return verified.union(docs.select("id", "print", "n", *none))
+        F.when(~is_row, begin).alias("start"),
+        F.when(~is_row, F.col("w.length")).alias("length"),
+        F.when(~is_row, F.col("w.window")).alias("window"),
+    )
 
 
 def contamination(
@@ -222,8 +257,9 @@ def drop_contaminated(
     windows, _ = benchmark_windows(items)
     found = occurrences(df, windows, id_column, text_column, broadcast_bytes)
     hit = store(found.filter("start is not null").select("id", "print").distinct(), "contaminated")
-    same_text = F.xxhash64(F.col(text_column), F.length(F.col(text_column))) == F.col("print")
-    return df.join(hit, F.col(id_column).eqNullSafe(F.col("id")) & same_text, "left_anti")
+    own_id, own_text = F.col(f"_docs.{id_column}"), F.col(f"_docs.{text_column}")
+    same_text = F.xxhash64(own_text, F.length(own_text)) == F.col("_hits.print")
+    return df.alias("_docs").join(hit.alias("_hits"), own_id.eqNullSafe(F.col("_hits.id")) & same_text, "left_anti")
 
 
 _SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
