@@ -85,11 +85,17 @@ def train(sample: pd.DataFrame, epochs: int = 40, batch: int = 128, rate: float
     share of label 1 to every text.
     """
     rng = np.random.default_rng(seed)
-    parts = [passage_features(text_bytes(t)) for t in sample["text"]]
-    features = np.vstack(parts) if parts else np.zeros((1, WIDTH), np.float32)
-    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    data = [text_bytes(t) for t in sample["text"]]
+    owner = np.repeat(np.arange(len(data)), [-(-len(d) // PASSAGE) for d in data])
+    features = np.zeros((max(1, len(owner)), WIDTH), np.float32)
+    done = 0
+    for d in data:
+        own = passage_features(d)
+        features[done : done + len(own)] = own
+        done += len(own)
     label = sample["label"].to_numpy(float)
-    mean, scale = features.mean(axis=0), features.std(axis=0) + 0.01
+    mean = features.mean(axis=0)
+    scale = np.sqrt(np.maximum(0, np.einsum("ij,ij->j", features, features) / len(features) - mean**2)) + 0.01
 
     def start(*shape: int) -> np.ndarray:
         return (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
@@ -103,7 +109,8 @@ def train(sample: pd.DataFrame, epochs: int = 40, batch: int = 128, rate: float
         return model
     names = ["encode", "tanh_gate", "sigmoid_gate", "attend", "out"]
     moment = {n: (np.zeros_like(getattr(model, n)), np.zeros_like(getattr(model, n))) for n in names}
-    scaled = ((features - mean) / scale).astype(np.float32)
+    features -= mean
+    features /= scale
     begins, ends = _segments(owner), np.r_[_segments(owner)[1:], len(owner)]
     step = 0
     for epoch in range(epochs):
@@ -113,7 +120,7 @@ def train(sample: pd.DataFrame, epochs: int = 40, batch: int = 128, rate: float
             rows = np.concatenate([np.arange(begins[d], ends[d]) for d in docs])
             count = ends[docs] - begins[docs]
             first = np.r_[0, np.cumsum(count)[:-1]]
-            x = scaled[rows]
+            x = features[rows]
             h = np.tanh(x @ model.encode)
             weight, t, s, pooled = model.pooled(h, first)
             error = (model.score(pooled) - label[docs])[:, None] / len(docs)
