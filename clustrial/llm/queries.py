@@ -21,7 +21,7 @@ def op1_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    model = toxicity.train(samples.labelled_texts(docs, labels, "toxic", folds=3, held_out=1))
+    model = toxicity.train(samples.labelled_texts(docs, labels, "toxic", folds=3, held_out=1, rows=4_000))
     held_out = (samples.fold("doc_id", 3) == 1).alias("held_out")
     return toxicity.classify(docs, model).select("doc_id", held_out, "score", "predicted")
 

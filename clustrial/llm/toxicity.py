@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,39 +93,45 @@ def train(sample: pd.DataFrame, epochs: int = 12, rate: float = 0.05, decay: flo
     bias = np.log(np.array([1 - share, share]))
     embeddings = 0.01 * rng.standard_normal((BUCKETS, DIM))
     output = np.tile([-0.35, 0.35], (DIM, 1)) + 0.1 * rng.standard_normal((DIM, 2))
+    if len(set(label)) < 2:
+        return SubwordModel(np.zeros_like(embeddings), output, bias)
+    # Flat arrays of small numbers: the driver holds the sample and little more.
     vocabulary: dict[str, int] = {}
-    word, span, doc = [], [], []
+    bucket, parts, word, size, doc = (array("i") for _ in range(5))
     for d, text in enumerate(sample["text"]):
         words = text.split() or [""]
-        for k in range(0, len(words), SPAN):
-            word += [vocabulary.setdefault(w, len(vocabulary)) for w in words[k : k + SPAN]]
-            span += [len(doc)] * len(words[k : k + SPAN])
-            doc.append(d)
-    if len(set(label)) < 2:
-        return SubwordModel(np.zeros_like(embeddings), output, bias)
-    word, span, doc = np.array(word), np.array(span), np.array(doc)
-    parts = [subwords(w) for w in vocabulary]
-    bucket = np.concatenate([np.array(p, np.int64) for p in parts])
-    of_word = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    per_word = 1 / np.maximum(1, np.bincount(of_word, minlength=len(parts)))
-    per_span = 1 / np.bincount(span)
+        for w in words:
+            if w not in vocabulary:
+                vocabulary[w] = len(vocabulary)
+                found = subwords(w) or [BUCKETS]  # a bucket that is never learned
+                bucket.extend(found)
+                parts.append(len(found))
+            word.append(vocabulary[w])
+        spans = -(-len(words) // SPAN)
+        size.extend([SPAN] * (spans - 1) + [len(words) - SPAN * (spans - 1)])
+        doc.extend([d] * spans)
+    vocabulary.clear()
+    bucket, parts, word, size, doc = (np.frombuffer(a, np.int32) for a in (bucket, parts, word, size, doc))
+    begin_word = np.r_[0, np.cumsum(parts)[:-1]]
+    begin_span = np.r_[0, np.cumsum(size)[:-1]]
     first, count = _runs(doc)
-    met = np.unique(doc[span] * len(parts) + word) % len(parts)
+    met = np.unique(np.repeat(doc.astype(np.int64), size) * len(parts) + word) % len(parts)
     in_docs = np.bincount(met, minlength=len(parts))
-    learned = np.bincount(bucket, in_docs[of_word], BUCKETS) >= MIN_DOCS
+    del met
+    learned = np.bincount(bucket, np.repeat(in_docs, parts), BUCKETS + 1)[:BUCKETS] >= MIN_DOCS
     embeddings *= learned[:, None]
     weights = [embeddings, output, bias]
     moments = [(np.zeros_like(w), np.zeros_like(w)) for w in weights]
     for step in range(1, epochs + 1):
         along = output[:, 1] - output[:, 0]
-        of_bucket = SHARPNESS * (embeddings @ along)
-        of_words = np.bincount(of_word, of_bucket[bucket], len(parts)) * per_word
-        of_span = np.bincount(span, of_words[word], len(doc)) * per_span
+        of_bucket = np.append(SHARPNESS * (embeddings @ along), 0).astype(np.float32)
+        of_words = np.add.reduceat(of_bucket[bucket], begin_word) / parts
+        of_span = np.add.reduceat(of_words[word], begin_span) / size
         z, attention = pooled(of_span, first, count)
         error = (1 / (1 + np.exp(-(z + bias[1] - bias[0]))) - label) / len(label)
-        to_span = np.repeat(error, count) * attention * per_span
-        to_word = np.bincount(word, to_span[span], len(parts)) * per_word
-        to_bucket = np.bincount(bucket, to_word[of_word], BUCKETS) * SHARPNESS * learned
+        to_span = np.repeat(error, count) * attention / size
+        to_word = np.bincount(word, np.repeat(to_span, size), len(parts)) / parts
+        to_bucket = np.bincount(bucket, np.repeat(to_word, parts), BUCKETS + 1)[:BUCKETS] * SHARPNESS * learned
         to_along = embeddings.T @ to_bucket
         total = error.sum()
         gradients = [
