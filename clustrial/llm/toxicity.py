@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -60,12 +61,15 @@ class SubwordModel(dict):
         self.of_bucket = SHARPNESS * (embeddings @ (output[:, 1] - output[:, 0]))
 
     def __missing__(self, word: str) -> float:
-        parts = subwords(word)
-        margin = float(self.of_bucket[parts].mean()) if parts else 0.0
+        plain = _EDGES.sub("", word.lower())
+        margin = self.get(plain)
+        if margin is None:
+            parts = subwords(plain)
+            margin = float(self.of_bucket[parts].mean()) if parts else 0.0
         if len(word) <= 100:
             if len(self) >= MAX_WORDS:
                 self.clear()
-            self[word] = margin
+            self[word] = self[plain] = margin
         return margin
 
     def __reduce__(self):
@@ -146,6 +150,17 @@ def train(sample: pd.DataFrame, epochs: int = 12, rate: float = 0.05, decay: flo
     return SubwordModel(embeddings, output, bias)
 
 
+_MODELS: dict[str, SubwordModel] = {}
+
+
+def _shared_model(name: str, weights: tuple) -> SubwordModel:
+    """One model for each worker process, so that its words stay known between tasks."""
+    if name not in _MODELS:
+        _MODELS.clear()
+        _MODELS[name] = SubwordModel(*weights)
+    return _MODELS[name]
+
+
 def classify(
     df: DataFrame, model: SubwordModel, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
@@ -153,10 +168,11 @@ def classify(
 
     The model, whose size is fixed, is broadcast once.
     """
+    name = uuid.uuid4().hex
     shared = df.sparkSession.sparkContext.broadcast((model.embeddings.astype(np.float32), model.output, model.bias))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = SubwordModel(*shared.value)
+        own = _shared_model(name, shared.value)
         for batch in batches:
             score = np.array([own.score(batch.column(1)[i].as_py()) for i in range(batch.num_rows)], float)
             predicted = pa.array((score >= threshold).astype(np.int32))
