@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clustrial.llm.components import components
@@ -43,19 +43,25 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def _text_hash(text_column: str) -> Column:
+    return F.coalesce(F.sha2(F.col(text_column), 256), F.lit("missing"))
+
+
 def fingerprints(
     df: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE
 ) -> DataFrame:
-    """``doc_id`` and the fingerprint ``fp`` as a signed long."""
+    """``doc_id``, the hash ``text_hash`` of the text and its fingerprint ``fp`` as a signed long."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(batch.column(1)[i].as_py(), shingle) for i in range(batch.num_rows)]
             signed = pa.array(np.array(found, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), signed], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), signed], ["doc_id", "text_hash", "fp"])
 
-    picked = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return picked.mapInArrow(work, "doc_id long, fp long")
+    picked = df.select(
+        F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), _text_hash(text_column).alias("text_hash")
+    )
+    return picked.mapInArrow(work, "doc_id long, text_hash string, fp long")
 
 
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
@@ -88,13 +94,14 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
 def near_duplicates(
     df: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE
 ) -> DataFrame:
-    """``doc_id, fp, component_id`` of every row.
+    """``doc_id, text_hash, fp, component_id, node`` of every row.
 
     Documents whose fingerprints differ in at most 3 bits are linked; the component id is the
     smallest document id that links lead to. Rows with equal fingerprints, which hold all
     copies, are one node, so copies are never paired. Empty and missing texts have
     fingerprint 0. A missing id counts for no minimum; a component of such rows only has
-    none. Repeated rows come out as often as they go in.
+    none. ``node`` names the component whatever its ids: where ids repeat, components may
+    share a smallest id. Repeated rows come out as often as they go in.
     """
     stored = store(fingerprints(df, id_column, text_column, shingle), "fingerprints")
     nodes = store(stored.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
@@ -103,18 +110,24 @@ def near_duplicates(
         "fp", "least", F.coalesce("component", "fp").alias("component")
     )
     named = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    table = grouped.join(named, "component").select("fp", "component_id")
-    return stored.join(table, "fp").select("doc_id", "fp", "component_id")
+    table = grouped.join(named, "component").select("fp", "component_id", F.col("component").alias("node"))
+    return stored.join(table, "fp").select("doc_id", "text_hash", "fp", "component_id", "node")
 
 
-def one_of_each(df: DataFrame, found: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` whose id is the component id of their group, one row for each.
+def one_of_each(df: DataFrame, found: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of ``df`` for each component of ``found``, what ``near_duplicates`` gives for it.
 
-    Rows without id are groups of their own and all stay.
+    It is the row of the smallest id, and of the smallest text hash among rows of that id;
+    rows without id come last, so one of them stays only where no row has an id. Of rows
+    equal in id and text any one stays.
     """
-    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    repeated = keep.join(found, F.col("_kept") == F.col("doc_id")).groupBy("_kept").count().filter("count > 1")
-    kept = df.join(keep, F.col(id_column) == F.col("_kept"), "left_semi")
-    if repeated.head(1):
-        kept = kept.dropDuplicates([id_column])
-    return kept.union(df.filter(F.col(id_column).isNull()))
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    first = found.groupBy("node").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n"))
+    chosen = first.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"), "n")
+    chosen = store(chosen, "chosen")
+    named = df.withColumn("_text_hash", _text_hash(text_column))
+    same = F.col(id_column).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+    alone = named.join(chosen.filter("n = 1"), same, "left_semi")
+    others = named.withColumn("_doc_id", F.col(id_column).cast("long")).join(chosen.filter("n > 1"), same, "left_semi")
+    one = others.dropDuplicates(["_doc_id", "_text_hash"])
+    return alone.drop("_text_hash").union(one.drop("_doc_id", "_text_hash"))

@@ -26,7 +26,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest id."""
+    """One row of each group of near duplicates, that of the smallest id; ids may be missing or repeat."""
     return simhash.one_of_each(docs, simhash.near_duplicates(docs))
 
 

@@ -122,6 +122,23 @@ def test_simhash_groups(spark):
     assert simhash.near_duplicates(documents(spark, docs).limit(0)).count() == 0
 
 
+def test_one_row_of_each_group_whatever_its_ids(spark):
+    words = {c: " ".join(f"{c}{k}" for k in range(400)) for c in "abcdef"}
+    near = words["e"].replace("e20 ", "other ")
+    assert (simhash.fingerprint(near) ^ simhash.fingerprint(words["e"])).bit_count() <= 3
+    docs = [(0, words["a"]), (0, words["b"]), (0, words["c"]), (0, words["a"]), (5, words["d"]), (9, words["d"]), (9, words["f"])]
+    docs += [(None, words["e"]), (None, near), (None, words["e"]), (None, words["a"]), (3, None), (None, "")]
+    df = documents(spark, docs)
+    rows = simhash.one_of_each(df, simhash.near_duplicates(df)).collect()
+    got = [(r.doc_id, r.text) for r in rows]
+    kept_e = [t for i, t in got if i is None]
+    assert len(kept_e) == 1 and kept_e[0] in {near, words["e"]}
+    assert sorted((i, t or "") for i, t in got if i is not None) == sorted(
+        [*((0, words[c]) for c in "abc"), (3, ""), (5, words["d"]), (9, words["f"])]
+    )
+    assert rows[0].__fields__ == df.columns
+
+
 def test_links_within_three_bits_are_all_found(spark):
     import random
 
