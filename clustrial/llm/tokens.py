@@ -37,7 +37,8 @@ class TextEncoder(dict):
 
     Byte-level BPE cuts a text before every space that starts a white-space run or precedes
     something visible, so the ids of a text are the ids of its chunks in order. Texts with
-    other spaces are encoded whole. A chunk of letters and punctuation goes straight to the
+    other spaces, or with an added token of the file such as ``<|endoftext|>``, which the
+    library reads as that token, are encoded whole. A chunk of letters and punctuation goes straight to the
     library's BPE model, any other through its whole chain. As a dict it holds the ids of at
     most ``max_chunks`` chunks, and those of as many words; then it is emptied, which changes
     the speed only.
@@ -49,7 +50,8 @@ class TextEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(name if os.sep in name else public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.max_chunks = max_chunks
         self.code = "H" if self.dtype.itemsize == 2 else "I"
@@ -104,7 +106,7 @@ class TextEncoder(dict):
         """The ids of a text; a missing text is empty."""
         if not text:
             return np.empty(0, self.dtype)
-        if _INSIDE_RUN.search(text):
+        if _INSIDE_RUN.search(text) or any(t in text for t in self.added):
             return np.frombuffer(self.whole(text), self.dtype)
         head, *rest = text.split(" ")
         ids = (self.chunk(head, "") if head else b"") + b"".join(map(self.__getitem__, rest))

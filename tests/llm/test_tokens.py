@@ -37,6 +37,18 @@ def test_chunked_ids_equal_the_library(work):
         assert work.encode(text).tolist() == ids(work, text), repr(text)
 
 
+def test_added_tokens_are_those_of_a_plain_library_call(work):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path(default_tokenizer()))
+    assert work.encode("a <|endoftext|> x").tolist() == [64, 220, 50256, 2124]
+    random.seed(3)
+    parts = ["<|endoftext|>", "<|", "|>", "endoftext", " ", "  ", "   ", "\n", "a", "It's", ".", "1", "\t"]
+    for text in [*SAMPLES, *("".join(random.choices(parts, k=random.randint(1, 9))) for _ in range(3000))]:
+        assert work.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**40)))
 def test_elias_fano_keeps_all_values(values):
