@@ -17,15 +17,24 @@ _TAG = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none|content-visibility\s*:\s*hidden", re.I)
+_VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*([a-z]+)", re.I)
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
 HEAD = set("html head title meta link base script style template noscript".split())
 HIDDEN = set(
     "head title script style template noscript meta link base iframe noembed noframes object audio video canvas "
-    "svg math datalist area param source track".split()
+    "datalist area param source track".split()
 )
+#: Parts of graphics and formulas that are not shown in their place.
+FOREIGN_HIDDEN = {
+    "svg": set("title desc metadata defs symbol clippath mask marker pattern".split()),
+    "math": {"annotation", "annotation-xml"},
+}
+#: Elements of formulas whose parts stand apart, and those that hold text.
+PARTS = set("mfrac msub msup msubsup munder mover munderover mroot mtable mtr mlabeledtr mmultiscripts".split())
+_MATH_TEXT = set("mi mn mo ms mtext".split())
 #: Space above and below, in line ends: blocks 1, paragraphs and the like 2.
 SPACE = dict.fromkeys(
     "address article aside body center details dialog dir div dd dl dt fieldset figcaption footer form header hgroup html "
@@ -48,7 +57,7 @@ IMPLIED: dict[str, tuple[set[str], set[str]]] = {
 }
 IMPLIED["thead"] = IMPLIED["tfoot"] = IMPLIED["tbody"]
 _END_BOUNDS = {"table": set()} | dict.fromkeys("td th tr tbody thead tfoot caption".split(), {"table"})
-_SCOPE = {"table", "td", "th", "caption", "button", "template", "object"}
+_SCOPE = {"table", "td", "th", "caption", "button", "template", "object", "foreignobject", "desc", "annotation-xml"} | _MATH_TEXT
 _CLOSES_P = {t for t, space in SPACE.items() if t not in {"option", "optgroup", "tr", "tbody", "thead", "tfoot", "caption", "legend", "body", "html"}}
 
 
@@ -70,6 +79,25 @@ class Node:
             or (self.tag == "dialog" and "open" not in a)
         )
 
+    def shown(self, inherited: bool, kind: str) -> bool:
+        """Visibility, which passes to children and which they may take back."""
+        said = _VISIBILITY.findall(self.attrs.get("style", "")) or ([self.attrs.get("visibility", "")] if kind != "html" else [])
+        word = said[-1].lower() if said else ""
+        return word in {"visible", "initial"} or (inherited and word not in {"hidden", "collapse"})
+
+    def kind_inside(self, kind: str) -> str:
+        """What text below is: of a page, of a drawing outside its labels, of a label, or of a formula."""
+        if self.tag in {"svg", "math"}:
+            return self.tag
+        if kind == "svg" and self.tag == "text":
+            return "label"
+        if (kind in {"svg", "label"} and self.tag == "foreignobject") or (kind == "math" and self.tag in _MATH_TEXT):
+            return "html"
+        return kind
+
+
+_GAP = Node(" ", {})
+
 
 def parse(html: str) -> Node:
     """The tree of a page; end tags that are left out are implied, stray ones ignored."""
@@ -237,6 +265,8 @@ def render(root: Node) -> str:
     """All visible text of a tree, walked without recursion however deep it is."""
     writers = [Writer()]
     tables: list[list[list[list[str]]]] = []
+    spans: list[dict[int, float]] = []  # for each table, the last row that a cell of a column reaches
+    looks: list[tuple[bool, str]] = [(True, "html")]  # visibility and kind of text of the open elements
     lists: list[list] = []  # [next number or None]
     pre = 0
     todo: list[tuple[Node | str, bool]] = [(root, False)]
@@ -244,6 +274,9 @@ def render(root: Node) -> str:
         node, closing = todo.pop()
         w = writers[-1]
         if isinstance(node, str):
+            shown, kind = looks[-1]
+            if not shown or kind == "svg" or (kind == "math" and not node.strip()):
+                continue
             if not pre:
                 w.text(node)
             else:
@@ -260,8 +293,17 @@ def render(root: Node) -> str:
             if tag == "br":
                 w.line_break()
                 continue
+            if node is _GAP:
+                w.blank = True
+                continue
             if tag == "img" or tag in {"input", "wbr"} or node.unseen():
                 continue
+            inherited, kind = looks[-1]
+            if tag in FOREIGN_HIDDEN.get("svg" if kind == "label" else kind, ()):
+                continue
+            if kind in {"svg", "label"} and node.attrs.get("display", "").strip().lower() == "none":
+                continue
+            shown = node.shown(inherited, kind)
             if tag in _CELLS and tables:
                 if not tables[-1]:
                     tables[-1].append([])
@@ -272,9 +314,11 @@ def render(root: Node) -> str:
                 elif tag in {"select", "button"}:
                     w.blank = True
             if tag == "hr":
-                w.as_is(["---"])
+                if shown:
+                    w.as_is(["---"])
                 w.apart(2)
                 continue
+            looks.append((shown, node.kind_inside(kind)))
             if tag in {"pre", "xmp", "textarea"}:
                 pre += 1
                 if node.children and isinstance(node.children[0], str):
@@ -288,31 +332,49 @@ def render(root: Node) -> str:
                 if number is not None:
                     lists[-1][0] += 1
                 w.indents.append(" " * len(marker))
-                w.marker = marker
+                if shown:
+                    w.marker = marker
             elif tag in {"blockquote", "dd"}:
                 w.indents.append("  ")
             elif tag == "table":
                 tables.append([])
+                spans.append({})
+            elif tag in {"tbody", "thead", "tfoot"} and tables:
+                spans[-1].clear()
             elif tag == "tr" and tables:
                 tables[-1].append([])
+            elif (tag == "text" and kind == "svg") or (tag == "tspan" and not {"x", "y", "dy"}.isdisjoint(node.attrs)):
+                w.blank = True
             todo.append((node, True))
             children = node.children
             if tag == "details" and "open" not in node.attrs:
                 children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
+            if looks[-1][1] == "math" and tag in PARTS:
+                parts = [c for c in children if isinstance(c, Node)]
+                children = [x for c in parts for x in (_GAP, c)]
             todo.extend((c, False) for c in reversed(children))
             continue
+        shown, kind = looks.pop()
         if tag in _CELLS and tables:
             lines = writers.pop().result()
-            tables[-1][-1].append(lines)
+            row, at, reach = tables[-1][-1], len(tables[-1]) - 1, spans[-1]
+            while reach.get(len(row), -1) >= at:
+                row.append([])
+            first = len(row)
+            row.append(lines)
             span = node.attrs.get("colspan", "1")
-            tables[-1][-1] += [[]] * (min(int(span), 100) - 1 if re.fullmatch(r"\d{1,4}", span) else 0)
+            row += [[]] * (min(int(span), 100) - 1 if re.fullmatch(r"\d{1,4}", span) else 0)
+            deep = node.attrs.get("rowspan", "1").strip()
+            if deep != "1" and re.fullmatch(r"\d{1,5}", deep):
+                last = at + int(deep) - 1 if int(deep) else float("inf")  # 0 reaches to the end of the rows' group
+                reach.update(dict.fromkeys(range(first, len(row)), last))
             continue
         if tag in {"pre", "xmp", "textarea"}:
             pre -= 1
         elif tag in {"ul", "ol", "menu", "dir"}:
             lists.pop()
         elif tag == "li":
-            if w.marker is not None:
+            if w.marker is not None and shown:
                 w._begin()
             w.end_line()
             w.indents.pop()
@@ -321,7 +383,10 @@ def render(root: Node) -> str:
             w.indents.pop()
         elif tag == "table":
             w.apart(1)
+            spans.pop()
             w.as_is(_aligned([r for r in tables.pop() if any(any(c) for c in r)]))
+        elif kind == "label" and tag == "text":
+            w.blank = True
         if tag in SPACE:
             w.apart(1 if lists and SPACE[tag] == 2 and tag != "table" else SPACE[tag])
     return "\n".join(writers[0].result())
@@ -331,8 +396,10 @@ def extract(df: DataFrame, id_column: str = "page_id", html_column: str = "html"
     """``page_id, text`` of every row: the visible text of the page, laid out in lines.
 
     Blocks stand on lines of their own and paragraphs apart, list items have their marker
-    and indent, and the cells of a table are aligned in columns. Hidden elements, scripts,
-    styles and the head give nothing. Missing pages stay missing, empty ones empty. Pages
+    and indent, and the cells of a table are aligned in columns, below cells that span rows
+    too. Formulas give their text, graphics that of their labels. Hidden elements, scripts,
+    styles and the head give nothing; what is made visible inside ``visibility: hidden`` is
+    shown. Text that a graphic repeats by ``use`` is not. Missing pages stay missing, empty ones empty. Pages
     are worked on one by one, without a shuffle.
     """
 

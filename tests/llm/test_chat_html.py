@@ -46,6 +46,24 @@ def test_layout(html, text):
     assert html_text.render(html_text.parse(html)) == text
 
 
+SHOWN = [
+    ("<p>so <math><mi>x</mi> <mo>=</mo> <mfrac><mn>1</mn><mn>2</mn></mfrac></math> holds", "so x= 1 2 holds"),
+    ("<math><semantics><mi>y</mi><annotation>no</annotation></semantics></math>", "y"),
+    ("a<svg><title>t</title><desc>d<p>d</desc><defs><text>f</text></defs>loose<text x=1>one</text><g><text>two <tspan>x</tspan></text></g></svg>b", "a one two x b"),
+    ("<p>k<svg><path d='m'/><foreignObject><div>in</div></foreignObject><text>l</text></svg>z", "k\nin\nl z"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+    ("<table><tr><td>p<td rowspan=0 colspan=2>q<td>r<tr><td>s<td>t<tbody><tr><td>u<td>v</table>", "p  q    r\ns       t\nu  v"),
+    ("<div style='visibility:hidden'>n<b style='visibility: visible'>yes</b>n<hr></div>z", "yes\n\nz"),
+    ("<ol><li>a<li style='visibility:hidden'>b<li>c</ol>", "1. a\n3. c"),
+    ("<div style='display:none'><b style='visibility:visible'>n</b></div>z", "z"),
+]
+
+
+@pytest.mark.parametrize(("html", "text"), SHOWN)
+def test_all_that_a_browser_shows(html, text):
+    assert html_text.render(html_text.parse(html)) == text
+
+
 def test_deep_and_broken_pages_end():
     for html in ("<div>" * 30_000 + "x", "<" * 30_000, '<a "' * 5_000, "<b><p>" * 3_000 + "x", "<table><tr><td>" * 800 + "x"):
         html_text.render(html_text.parse(html))
