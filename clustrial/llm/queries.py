@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clustrial.llm import chat, html_text, packing, pii, quality_mil, quality_rules, samples, simhash, token_files, toxicity, winnowing
+from clustrial.llm import brown, chat, html_text, manifest, packing, periodic_runs, pii, quality_mil, quality_rules
+from clustrial.llm import samples, simhash, token_files, toxicity, winnowing
 
 
 KEY = "pseudonym key of the checks"  # a real corpus has a secret of its own
@@ -70,6 +71,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.tampered_proofs(_table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_brown_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = brown.score_texts(_table(spark, sf_dir, "documents"), samples.fold("doc_id", 10) != 0)
+    return scores.withColumn("held_out", ~F.col("trained")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 QUERIES = {
     "op1_chat_snapshots": op1_chat_snapshots,
     "op2_subword_toxicity": op2_subword_toxicity,
@@ -81,9 +97,13 @@ QUERIES = {
     "op8_attention_quality": op8_attention_quality,
     "op9_layout_text": op9_layout_text,
     "op10_simhash": op10_simhash,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_brown_score": op13_brown_score,
 }
 ORACLES = {
     "op1_chat_snapshots": chat.ORACLE,
     "op7_rule_ledger": quality_rules.ORACLE,
     "op4_winnowing": winnowing.ORACLE,
+    "op11_merkle_manifest": manifest.ORACLE,
 }
