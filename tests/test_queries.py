@@ -9,9 +9,10 @@ import pytest
 import __spark_entry__ as entry_points
 from clustrial.checks import queries as queries_module
 from clustrial.checks.compare import connect, difference
+from clustrial.checks.oracles import ORACLES
+from clustrial.checks.queries import QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
 # One of each kind; ``python -m clustrial.checks.compare <folder>`` runs them all.
 CHECKED = [
     "measure_region_month", "measure_all_single_scan", "measure_code_list", "period_measure_rates",
@@ -43,6 +44,7 @@ def one_trial(trial_tables, monkeypatch):
 
 def test_every_query_has_its_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLES) <= set(entry_points.oracle_sql())
 
 
 @pytest.mark.parametrize("name", CHECKED)
