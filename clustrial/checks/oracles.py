@@ -539,6 +539,22 @@ def _histogram(source: str, column: str, places: int) -> str:
     )
 
 
+def _trimming_histograms() -> str:
+    trimmed = "(SELECT * FROM capped WHERE org_type = 'ccg')"
+    parts = []
+    for form in ("views_before", "views_after", "proxy_views_before", "proxy_views_after"):
+        span = f"(SELECT min({form}) AS low, max({form}) AS high FROM {trimmed})"
+        bin_of = f"least(floor(({form} - low) / ((high - low) / 10)), 9)"
+        parts.append(
+            f"SELECT '{form}' AS variable, CAST(b.bin AS INTEGER) AS bin, "
+            f"{_r('low + b.bin * ((high - low) / 10)', 6, 'lower')}, "
+            f"{_r('low + (b.bin + 1) * ((high - low) / 10)', 6, 'upper')}, "
+            f"(SELECT count(*) FROM {trimmed}, {span} WHERE {bin_of} = b.bin) AS n "
+            f"FROM range(10) b(bin), {span}"
+        )
+    return _with(" UNION ALL ".join(parts))
+
+
 def _one_measure(tag: str, where: str, with_name: bool) -> str:
     name = f"'{tag}' AS measure, " if with_name else ""
     return _with(
@@ -565,6 +581,27 @@ ORACLES: dict[str, str] = {
         f"SELECT month, pct_id, measure, items, {_r('cost', 4)}, {_r('denominator')} FROM monthly"
     ),
     "measure_code_list": _one_measure("code_list", "p_brand = 'Brand#1'", True),
+    "measure_incremental": _with(
+        f"SELECT month, pct_id, measure, items, {_r('cost', 4)}, {_r('denominator')} FROM monthly"
+    ),
+    "measure_prefix_rules": """
+        WITH rules AS (
+          SELECT 'rule_' || CAST(id % 250 AS VARCHAR) AS measure, id % 7 = 0 AS exclude,
+                 lpad(CAST(id * 37 % 10000 AS VARCHAR), CAST(2 + id % 3 AS INTEGER), '0') AS prefix
+          FROM range(2000) r(id)),
+        codes AS (SELECT p_partkey, reverse(lpad(CAST(p_partkey AS VARCHAR), 9, '0')) AS code FROM part),
+        members AS (
+          SELECT p_partkey, measure FROM codes JOIN rules ON starts_with(code, prefix)
+          GROUP BY p_partkey, measure HAVING NOT bool_or(exclude)),
+        sold AS (
+          SELECT l_partkey, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q
+          FROM lineitem GROUP BY l_partkey)
+        SELECT measure, CAST(sum(n) AS BIGINT) AS lines, CAST(sum(q) AS BIGINT) AS items, count(*) AS codes
+        FROM members JOIN sold ON p_partkey = l_partkey GROUP BY measure""",
+    "measure_reused": _with(
+        f"SELECT pct_id, month, items, {_r('cost', 4)}, {_r('denominator')}, "
+        f"{_r('CAST(cost AS DOUBLE) / nullif(denominator, 0)', 6, 'calc_value')} FROM combined"
+    ),
     "measures_combined": _with(
         f"SELECT pct_id, month, items, {_r('cost', 4)}, {_r('denominator')}, "
         f"{_r('CAST(cost AS DOUBLE) / nullif(denominator, 0)', 6, 'calc_value')} FROM combined"
@@ -778,6 +815,16 @@ ORACLES: dict[str, str] = {
     "trimming_histogram": _histogram(
         "(SELECT * FROM capped WHERE org_type = 'ccg')", "proxy_views_before", 6
     ),
+    "trimming_histograms": _trimming_histograms(),
+    "winsorise_lines": f"""
+        WITH caps AS (
+          SELECT quantile_cont(l_extendedprice, 0.95) AS p, quantile_cont(l_quantity, 0.95) AS q FROM lineitem)
+        SELECT l_returnflag, {_r('max(least(l_extendedprice, p))', 4, 'price_cap')},
+               count(*) FILTER (l_extendedprice > p) AS capped,
+               {_r('avg(least(l_extendedprice, p))', 4, 'price_mean')},
+               {_r('max(least(l_quantity, q))', 4, 'quantity_cap')},
+               {_r('avg(least(l_quantity, q))', 4, 'quantity_mean')}
+        FROM lineitem, caps GROUP BY l_returnflag""",
     "parse_dates": """
         SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso_text,
                CAST(o_orderdate AS DATE) AS iso_date, CAST(o_orderdate AS DATE) AS compact_date,
@@ -826,6 +873,27 @@ ORACLES: dict[str, str] = {
         + _summary("view_grid", "intervention", "views_before", "views_after")
         + " GROUP BY org_type, intervention"
     ),
+    "event_window_alerts_by_length": _with(
+        f"SELECT intervention, joint_id, {_r('list_size_100k')}, alerts_ccg_after, "
+        "alerts_ccg_before, alerts_practice_after, alerts_practice_before FROM alert_counts",
+        (
+            "signups",
+            """SELECT day, k AS user, CASE WHEN value >= 60 AND length(region) = 3 THEN 'ccg'
+                      WHEN value < 60 AND length(code_text) = 6 THEN 'practice' ELSE 'none' END AS org_type,
+                      CASE WHEN value >= 60 THEN region END AS pct,
+                      CASE WHEN value < 60 THEN code_text END AS practice
+               FROM org_events WHERE event_type = 'signup' AND value >= 20""",
+        ),
+    ),
+    "alert_summary_sizes": _with(
+        " UNION ALL ".join(
+            f"SELECT '{kind}' AS org_type, {_r('avg(list_size_100k)', 6, 'size_mean')}, "
+            f"{_r('stddev_samp(list_size_100k)', 6, 'size_std')}, "
+            + _summary("alert_counts", "intervention", f"alerts_{kind}_before", f"alerts_{kind}_after", False)
+            + " GROUP BY intervention"
+            for kind in ("ccg", "practice")
+        )
+    ),
     "alert_summary": _with(
         " UNION ALL ".join(
             f"SELECT '{kind}' AS org_type, "

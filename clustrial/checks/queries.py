@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import date
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,23 +22,23 @@ from clustrial.functions import (
     ratio,
 )
 from clustrial.operators.allocation import allocate
-from clustrial.operators.clusters import (
-    expand_roster,
-    roster_practices,
-    team_representatives,
-)
+from clustrial.operators.clusters import expand_roster, team_representatives
 from clustrial.operators.measures import (
     combine_measures,
+    extend_month_table,
     in_code_list,
+    prefix_measures,
     region_month_measures,
 )
 from clustrial.operators.ols import fit_ols
 from clustrial.operators.positions import add_rank
-from clustrial.operators.robust import describe, group_means, histogram, trimming_report
+from clustrial.operators.robust import describe, group_means, histogram, trimming_report, winsorise
 from clustrial.operators.selection import top_per_group, top_units
 from clustrial.operators.summary import arm_summary
 from clustrial.plans import engagement, trial
+from clustrial.plans.study import Study
 from clustrial.sources import (
+    TableStore,
     append_all,
     flatten_report,
     read_csv,
@@ -63,103 +64,39 @@ def rounded(df: DataFrame, places: int = 6, **special: int) -> DataFrame:
     return df.selectExpr(*[column(name, kind) for name, kind in df.dtypes])
 
 
-class Trial:
-    """The tables of one trial; what several steps use is stored once."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-
-    @cached_property
-    def practices(self) -> DataFrame:
-        return t.practices(self.spark, self.sf_dir)
-
-    @cached_property
-    def teams(self) -> DataFrame:
-        return t.teams(self.spark, self.sf_dir)
-
-    def measures(self, tagged: DataFrame, names: list[str]) -> DataFrame:
-        return region_month_measures(
-            tagged, t.statistics(self.spark, self.sf_dir), self.practices, names, t.FIRST, t.LAST
+class Trial(Study):
+    """The study of the checks' tables."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, tables: TableStore | None = None):
+        super().__init__(
+            prescribing=t.prescriptions(spark, sf_dir).join(t.parts_by_measure(spark, sf_dir), "part"),
+            statistics=t.statistics(spark, sf_dir),
+            practices=t.practices(spark, sf_dir),
+            teams=t.teams(spark, sf_dir),
+            measures=t.MEASURES,
+            periods=t.PERIODS,
+            first=t.FIRST,
+            last=t.LAST,
+            excluded=t.EXCLUDED,
+            size=t.TRIAL_SIZE,
+            seed=t.SEED,
+            timetable_of=lambda allocation: t.visit_timetable(spark, sf_dir, allocation),
+            # Web paths hold the text code.
+            practice_codes=lambda practices: practices.withColumn("code", F.col("code_text")),
+            tables=tables,
         )
+        self.views, self.sign_ups = t.page_views(spark, sf_dir), t.alerts(spark, sf_dir)
 
     def all_measures(self) -> DataFrame:
-        tagged = t.prescriptions(self.spark, self.sf_dir).join(
-            t.parts_by_measure(self.spark, self.sf_dir), "part"
-        )
-        return self.measures(tagged, t.MEASURES)
-
-    @cached_property
-    def monthly(self) -> DataFrame:
-        return store(self.all_measures(), "measures")
-
-    @cached_property
-    def clusters(self) -> DataFrame:
-        rates = trial.baseline_rates(combine_measures(self.monthly), t.PERIODS)
-        return trial.cluster_baselines(rates, self.teams)
-
-    @cached_property
-    def allocation(self) -> DataFrame:
-        return trial.select_and_allocate(self.clusters, t.EXCLUDED, t.TRIAL_SIZE, t.SEED)
-
-    @cached_property
-    def members(self) -> DataFrame:
-        return trial.trial_members(self.allocation, self.teams)
-
-    @cached_property
-    def outcomes(self) -> DataFrame:
-        return trial.combined_outcomes(self.monthly, self.members, t.PERIODS)
-
-    @cached_property
-    def outcomes_by_measure(self) -> DataFrame:
-        return trial.outcomes_by_measure(self.monthly, self.members, t.PERIODS)
-
-    @cached_property
-    def timetable(self) -> DataFrame:
-        return t.visit_timetable(self.spark, self.sf_dir, self.allocation)
-
-    @cached_property
-    def list_sizes(self) -> DataFrame:
-        populations = trial.region_populations(
-            t.statistics(self.spark, self.sf_dir),
-            self.practices,
-            t.FIRST,
-            t.LAST,
-            {"total_list_size": "list_size"},
-        )
-        return populations.where(F.col("pct_id").isNotNull())
-
-    @cached_property
-    def units(self) -> DataFrame:
-        dates = self.timetable.select("joint_id", parse_visit_date("date").alias("date"))
-        sizes = engagement.cluster_list_sizes(self.members, self.list_sizes)
-        return engagement.pair_visit_dates(self.members, dates, sizes)
-
-    @cached_property
-    def trial_practices(self) -> DataFrame:
-        """Practices of the trial's regions by their text code, as web paths hold it."""
-        coded = self.practices.withColumn("code", F.col("code_text"))
-        return roster_practices(self.members, coded)
+        return self.month_table(self.prescribing, self.measures)
 
     @cached_property
     def page_view_grid(self) -> DataFrame:
-        views = engagement.parse_page_views(t.page_views(self.spark, self.sf_dir))
-        return engagement.cluster_page_views(
-            views, self.members, self.trial_practices, self.units, t.PAGE_WINDOW
-        )
+        return self.page_views(self.views, t.PAGE_WINDOW)
 
     @cached_property
     def alert_counts(self) -> DataFrame:
-        return store(
-            engagement.cluster_alerts(
-                t.alerts(self.spark, self.sf_dir),
-                self.members,
-                self.trial_practices,
-                self.units,
-                t.SIGNUP_WINDOW,
-                practice_length=None,
-            ),
-            "alerts",
-        )
+        return store(self.alerts(self.sign_ups, t.SIGNUP_WINDOW, practice_length=None), "alerts")
 
 
 # --- measure tables -------------------------------------------------------------
@@ -170,7 +107,7 @@ def measure_region_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     tagged = t.prescriptions(spark, sf_dir).join(
         t.parts_by_measure(spark, sf_dir, {name: t.REGISTRY[name]}), "part"
     )
-    return rounded(Trial(spark, sf_dir).measures(tagged, [name]).drop("measure"), cost=4)
+    return rounded(Trial(spark, sf_dir).month_table(tagged, [name]).drop("measure"), cost=4)
 
 
 def measure_all_single_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +121,58 @@ def measure_code_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     tagged = in_code_list(t.prescriptions(spark, sf_dir), codes, "part", "p_partkey").withColumn(
         "measure", F.lit("code_list")
     )
-    return rounded(Trial(spark, sf_dir).measures(tagged, ["code_list"]), cost=4)
+    return rounded(Trial(spark, sf_dir).month_table(tagged, ["code_list"]), cost=4)
+
+
+RULES = 2_000
+
+
+def _prefix_rules(spark: SparkSession) -> DataFrame:
+    """``measure, prefix, exclude``: numbers as prefixes of two to four digits, every seventh taking out."""
+    return spark.range(RULES).selectExpr(
+        "concat('rule_', id % 250) AS measure",
+        "lpad(cast(id * 37 % 10000 AS STRING), cast(2 + id % 3 AS INT), '0') AS prefix",
+        "id % 7 = 0 AS exclude",
+    )
+
+
+def _part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part numbers read from the last digit on, so that prefixes differ within any range."""
+    parts = t.table(spark, sf_dir, "part", "p_partkey")
+    return parts.selectExpr("p_partkey", "reverse(lpad(cast(p_partkey AS STRING), 9, '0')) AS code")
+
+
+def measure_prefix_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities sold by measure, the measures given by 2,000 rules on how codes begin."""
+    codes = _part_codes(spark, sf_dir)
+    measures = codes.join(prefix_measures(codes, _prefix_rules(spark), "code"), "code").select("p_partkey", "measure")
+    sold = t.table(spark, sf_dir, "lineitem", "l_partkey", "l_quantity").groupBy("l_partkey").agg(
+        F.count(F.lit(1)).alias("lines"), F.expr("sum(cast(l_quantity AS BIGINT))").alias("items")
+    )
+    return sold.join(measures, sold.l_partkey == measures.p_partkey).groupBy("measure").agg(
+        F.sum("lines").alias("lines"), F.sum("items").alias("items"), F.count(F.lit(1)).alias("codes")
+    )
+
+
+def measure_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The month table of all measures, first up to the follow-up period, then extended."""
+    parts, practices = t.parts_by_measure(spark, sf_dir), t.practices(spark, sf_dir)
+    path = f"{shared_folder(spark)}/clustrial/months-{uuid.uuid4().hex}"
+
+    def build(first: date, last: date) -> DataFrame:
+        tagged = t.prescriptions(spark, sf_dir, first, last).join(parts, "part")
+        return region_month_measures(tagged, t.statistics(spark, sf_dir, first, last), practices, t.MEASURES, first, last)
+
+    extend_month_table(spark, path, build, t.FIRST, t.PERIODS.mid)
+    return rounded(extend_month_table(spark, path, build, t.FIRST, t.LAST), cost=4)
+
+
+def measure_reused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Combined measures of a second study, which reads the month table the first one stored."""
+    folder = f"{shared_folder(spark)}/clustrial/reused-{uuid.uuid4().hex}"
+    Trial(spark, sf_dir, TableStore(spark, folder, keep=True)).monthly
+    study = Trial(spark, sf_dir, TableStore(spark, folder, keep=True))
+    return rounded(combine_measures(study.monthly).withColumn("calc_value", ratio("cost", "denominator")), cost=4)
 
 
 def measures_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,16 +276,7 @@ def allocate_stored_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def arm_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = (
-        Trial(spark, sf_dir)
-        .allocation.groupBy("allocation")
-        .agg(
-            F.count("joint_id").alias("clusters"),
-            F.bround(F.avg("baseline"), 0).alias("mean"),
-            F.bround(F.stddev_samp("baseline"), 0).alias("sd"),
-        )
-    )
-    return report
+    return Trial(spark, sf_dir).arm_report()
 
 
 def visit_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -512,8 +491,7 @@ def ols_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    study = Trial(spark, sf_dir)
-    return trial.visited_flag(study.outcomes, study.timetable)
+    return Trial(spark, sf_dir).flagged
 
 
 def sensitivity_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -597,7 +575,26 @@ def trimming_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trimming_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_trimmed_ccg(spark, sf_dir)["histogram_proxy_views_before"])
+    bins = _trimmed_ccg(spark, sf_dir)["histograms"]
+    return rounded(bins.where("variable = 'proxy_views_before'").drop("variable"))
+
+
+def trimming_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page views before and after, as they are and trimmed."""
+    return rounded(_trimmed_ccg(spark, sf_dir)["histograms"])
+
+
+def winsorise_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices and quantities of all order lines, each capped at its own 95th percentile."""
+    lines = t.table(spark, sf_dir, "lineitem", "l_returnflag", "l_extendedprice", "l_quantity")
+    capped = winsorise(lines, {"l_extendedprice": "price", "l_quantity": "quantity"})
+    return rounded(
+        capped.groupBy("l_returnflag").agg(
+            F.max("price").alias("price_cap"), F.count_if(F.col("price") < F.col("l_extendedprice")).alias("capped"),
+            F.avg("price").alias("price_mean"), F.max("quantity").alias("quantity_cap"), F.avg("quantity").alias("quantity_mean"),
+        ),
+        4,
+    )
 
 
 # --- engagement -----------------------------------------------------------------------
@@ -647,21 +644,19 @@ def event_window_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_window_views_keep_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     study = Trial(spark, sf_dir)
-    grid = engagement.cluster_page_views(
-        engagement.parse_page_views(t.page_views(spark, sf_dir)),
-        study.members,
-        study.trial_practices,
-        study.units,
-        t.PAGE_WINDOW,
-        keep_empty=True,
-    )
-    return rounded(grid, list=7)
+    return rounded(study.page_views(study.views, t.PAGE_WINDOW, keep_empty=True), list=7)
 
 
 def event_window_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(Trial(spark, sf_dir).alert_counts)
 
 
+def event_window_alerts_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the rule that a practice id has six characters."""
+    study = Trial(spark, sf_dir)
+    return rounded(study.alerts(study.sign_ups, t.SIGNUP_WINDOW))
+
+
 def page_view_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = Trial(spark, sf_dir).page_view_grid
     parts = [
@@ -688,6 +683,17 @@ def alert_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(append_all(parts))
 
 
+def alert_summary_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With mean and SD of the clusters' list sizes."""
+    counts = Trial(spark, sf_dir).alert_counts
+    return rounded(
+        append_all(
+            engagement.alert_summary(counts, kind).withColumn("org_type", F.lit(kind))
+            for kind in engagement.ORG_TYPES
+        )
+    )
+
+
 def _ols_views(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     trimmed = engagement.trimmed_page_views(Trial(spark, sf_dir).page_view_grid, kind)
     return _compare(trimmed, "proxy_views_before", "proxy_views_after")
@@ -853,6 +859,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         measure_all_single_scan,
         measure_code_list,
         measures_combined,
+        measure_prefix_rules,
+        measure_incremental,
+        measure_reused,
         classify_months,
         period_region_rates,
         period_measure_rates,
@@ -898,6 +907,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         trimmed_arm_means,
         trimming_describe,
         trimming_histogram,
+        trimming_histograms,
+        winsorise_lines,
         parse_dates,
         event_org_parse,
         matched_pair_dates,
@@ -906,6 +917,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         event_window_alerts,
         page_view_summary,
         alert_summary,
+        alert_summary_sizes,
+        event_window_alerts_by_length,
         ols_views_ccg,
         ols_views_practice,
         ols_size_adjusted_ccg,

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,43 +14,62 @@ from clustrial.sources import tables
 from clustrial.sources.tables import SLICE
 
 
-def value_positions(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """One row per distinct value: ``n`` rows hold it, ``before`` rows are smaller.
+def _keyed(df: DataFrame, value: str, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Group columns and value under names of our own, so that those of the frame don't matter."""
+    groups = [f"g{i}" for i in range(len(by))]
+    columns = [F.col(quoted(c)).alias(g) for c, g in zip(by, groups)]
+    known = nan_as_missing(df, [value]).where(has_keys([*by, value]))
+    return known.select(*columns, F.col(quoted(value)).alias("v")), groups
 
-    ``total`` is the number of non-null values in the group. Repeated values are
-    counted on the map side, the distinct ones are range-partitioned into slices, and
-    a running count inside each slice is added to the count of the slices before it.
-    The only window not cut into slices runs over slice totals: one row per slice.
-    """
-    df = nan_as_missing(df, [value])
-    counts = (
-        df.where(has_keys([*by, value])).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    )
-    sliced = tables.store_in_slices(counts, [*by, value], "positions")
 
-    earlier = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+def _placed(counts: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
+    """``counts`` with ``before``, the sum of ``n`` earlier in ``order``, and ``total``, by group.
+
+    The rows are range-partitioned into slices, and a running count inside each slice is
+    added to the count of the slices before it. The only window not cut into slices runs
+    over slice totals: one row per slice.
+    """
+    sliced = tables.store_in_slices(counts, [*groups, *order], "positions")
+    earlier = Window.partitionBy(*groups).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     slices = (
-        sliced.groupBy(*by, SLICE)
+        sliced.groupBy(*groups, SLICE)
         .agg(F.sum("n").alias("slice_n"))
         .select(
-            *by,
-            SLICE,
+            *[F.col(g).alias(f"of_{g}") for g in groups],
+            F.col(SLICE).alias("of_slice"),
             F.coalesce(F.sum("slice_n").over(earlier), F.lit(0)).alias("slice_before"),
-            F.sum("slice_n").over(Window.partitionBy(*by)).alias("total"),
+            F.sum("slice_n").over(Window.partitionBy(*groups)).alias("total"),
         )
     )
     smaller = (
-        Window.partitionBy(*by, SLICE).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*groups, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
+    same = reduce(and_, [F.col(g) == F.col(f"of_{g}") for g in groups], F.col(SLICE) == F.col("of_slice"))
     return (
         sliced.withColumn("in_slice", F.coalesce(F.sum("n").over(smaller), F.lit(0)))
-        .join(slices, [*by, SLICE])
-        .select(
-            *by, value, "n", (F.col("slice_before") + F.col("in_slice")).alias("before"), "total"
-        )
+        .join(slices, same)
+        .select(*counts.columns, (F.col("slice_before") + F.col("in_slice")).alias("before"), "total")
     )
 
 
+def _value_places(df: DataFrame, value: str, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    keyed, groups = _keyed(df, value, by)
+    counts = keyed.groupBy(*groups, "v").agg(F.count(F.lit(1)).alias("n"))
+    return _placed(counts, groups, ["v"]), groups
+
+
+def value_positions(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """One row per distinct value: ``n`` rows hold it, ``before`` rows are smaller.
+
+    ``total`` is the number of non-null values in the group. Repeated values are counted
+    on the map side, so a value that a third of the rows hold is one row from there on.
+    A column named like a result column gets a ``_``.
+    """
+    places, groups = _value_places(df, value, by)
+    names = [c + "_" if c in ("n", "before", "total") else c for c in (*by, value)]
+    return places.select(*[F.col(c).alias(name) for c, name in zip((*groups, "v"), names)], "n", "before", "total")
+
+
 def _rank(n: Column, before: Column, total: Column, method: str, pct: bool, up: bool) -> Column:
     ahead = before if up else total - before - n
     rank = ahead + (n + 1) / 2 if method == "average" else ahead + F.lit(1.0)
@@ -67,18 +88,21 @@ def add_rank(
     """Rank rows within their group, at any size; missing values get no rank.
 
     ``method`` is ``average`` (ties share their mean position) or ``min``; ``pct``
-    divides by the number of ranked values. The frame is stored first, because the
-    ranks are joined back by value. Rows without value or group go round the join.
+    divides by the number of ranked values. Only group and value are read to find the
+    ranks, one row for each distinct value; they are joined to the rows of ``df``, which
+    are not stored. So ``df`` is read twice and must give the same rows each time: store it
+    first if it is costly or random. Rows without value or group go round the join.
     """
-    base = tables.store(nan_as_missing(df, [value]), "ranked")
-    ranks = value_positions(base, value, by).select(
-        *by,
-        value,
-        _rank(F.col("n"), F.col("before"), F.col("total"), method, pct, ascending).alias(name),
-    )
+    places, groups = _value_places(df, value, by)
+    keys = [f"_rank_{c}" for c in (*groups, "v")]
+    rank = _rank(F.col("n"), F.col("before"), F.col("total"), method, pct, ascending)
+    ranks = places.select(*[F.col(c).alias(key) for c, key in zip((*groups, "v"), keys)], rank.alias("_rank_of_row"))
+    base = nan_as_missing(df, [value])
     known = has_keys([*by, value])
-    ranked = base.where(known).join(ranks, [*by, value], "left").select(*df.columns, name)
-    return ranked.union(base.where(~known).withColumn(name, F.lit(None).cast("double")))
+    same = reduce(and_, [F.col(quoted(c)) == F.col(key) for c, key in zip((*by, value), keys)])
+    kept = [F.col(quoted(c)) for c in df.columns if c != name]
+    ranked = base.where(known).join(ranks, same, "left").select(*kept, F.col("_rank_of_row").alias(name))
+    return ranked.union(base.where(~known).select(*kept, F.lit(None).cast("double").alias(name)))
 
 
 def window_rank(
@@ -109,6 +133,43 @@ def window_rank(
     return F.expr(f"CASE WHEN {ranked} THEN {rank} END")
 
 
+SKETCH = 10_000  # a sketched quantile is off by a share of 1 / SKETCH of the rows at most
+
+
+def _brackets(keyed: DataFrame, groups: list[str], probabilities: Sequence[float]) -> DataFrame:
+    """Per group ``ends``: values ``low`` and ``high`` between which each quantile must lie.
+
+    One pass with a mergeable sketch, taken at twice its error below and above. In groups of
+    up to ``8 * SKETCH`` rows, where rounding a place could be more than that, all rows lie between.
+    """
+    slack = 2 / SKETCH
+    low, high = [p - slack for p in probabilities], [p + slack for p in probabilities]
+    marks = sorted({p for p in low + high if 0 < p < 1}) or [0.5]
+
+    def mark(p: float, end: str) -> Column:
+        at = F.element_at("marks", marks.index(p) + 1) if p in marks else F.col(end)
+        return F.when(F.col("rows") <= 8 * SKETCH, F.col(end)).otherwise(at)
+
+    ends = [F.struct(mark(a, "least").alias("low"), mark(b, "most").alias("high")) for a, b in zip(low, high)]
+    sketched = keyed.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("rows"), F.min("v").alias("least"), F.max("v").alias("most"),
+        F.percentile_approx("v", marks, SKETCH).alias("marks"),
+    )
+    return sketched.select(*groups, F.array(*ends).alias("ends"))
+
+
+def _inside(keyed: DataFrame, groups: list[str], brackets: DataFrame, n: int) -> DataFrame:
+    """Counts of the distinct values inside brackets, and of the rows in each gap between them.
+
+    ``part`` is the number of brackets that end below a row; the rows of a gap, whose ``v``
+    is null, come before the values of the bracket that follows.
+    """
+    past = " + ".join(f"int(v > ends[{i}].high)" for i in range(n))
+    within = " OR ".join(f"v BETWEEN ends[{i}].low AND ends[{i}].high" for i in range(n))
+    rows = keyed.join(brackets, groups).selectExpr(*groups, f"{past} AS part", f"IF({within}, v, NULL) AS v")
+    return rows.groupBy(*groups, "part", "v").agg(F.count(F.lit(1)).alias("n"))
+
+
 def quantiles(
     df: DataFrame,
     value: str,
@@ -118,26 +179,28 @@ def quantiles(
 ) -> DataFrame:
     """Quantiles with linear interpolation, one column per entry of ``probabilities``.
 
-    Exact by default: the two neighbouring values are looked up by position, so no
-    task holds a group's values. ``accuracy`` switches to the approximate aggregate.
+    Exact by default. A sketch brackets each quantile; a second pass counts the rows below
+    the brackets exactly, on the map side, and only the distinct values inside them, some
+    four in ``SKETCH`` rows, are put in order and looked up by position. No task holds a
+    group's values and no copy of the column is stored; ``df`` is read twice, so store it
+    first if it is costly or random. ``accuracy`` switches to the approximate aggregate.
     """
+    keyed, groups = _keyed(df, value, by)
+    named = [F.col(g).alias(c) for g, c in zip(groups, by)]
     if accuracy is not None:
-        df = nan_as_missing(df, [value])
-        return (
-            df.where(has_keys([*by]))
-            .groupBy(*by)
-            .agg(
-                *[
-                    F.percentile_approx(value, p, accuracy).alias(name)
-                    for name, p in probabilities.items()
-                ]
-            )
-        )
-    places = value_positions(df, value, by)
+        sketches = [F.percentile_approx("v", p, accuracy).alias(name) for name, p in probabilities.items()]
+        return keyed.groupBy(*groups).agg(*sketches).select(*named, *[F.col(quoted(n)) for n in probabilities])
+    cut = groups
+    if not cut:
+        keyed, cut = keyed.withColumn("g0", F.lit(0)), ["g0"]
+    brackets = tables.store(_brackets(keyed, cut, list(probabilities.values())), "brackets")
+    places = _placed(_inside(keyed, cut, brackets, len(probabilities)), cut, ["part", "v"])
     first, past_last = F.col("before"), F.col("before") + F.col("n")
 
     def at(place: Column) -> Column:
-        return F.max(F.when((place >= first) & (place < past_last), F.col(value)))
+        found = F.max(F.when((place >= first) & (place < past_last), F.col("v")))
+        missed = F.expr("raise_error('a quantile lies outside its bracket')")
+        return F.when(F.max("total") > 0, F.coalesce(found, missed))
 
     columns = []
     for name, p in probabilities.items():
@@ -145,4 +208,4 @@ def quantiles(
         low, high = at(F.floor(place)), at(F.ceil(place))
         weight = F.max(place - F.floor(place))
         columns.append((low + weight * (high - low)).alias(name))
-    return places.groupBy(*by).agg(*columns)
+    return places.groupBy(*groups).agg(*columns).select(*named, *[F.col(quoted(n)) for n in probabilities])

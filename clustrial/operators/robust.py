@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clustrial.functions import cap_at, has_keys, nan_as_missing
+from clustrial.functions import cap_at, has_keys, nan_as_missing, quoted
 from clustrial.operators.positions import quantiles
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
@@ -15,7 +15,7 @@ QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 def _melt(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     pairs = [
-        F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value"))
+        F.struct(F.lit(c).alias("variable"), F.col(quoted(c)).cast("double").alias("value"))
         for c in columns
     ]
     return nan_as_missing(df.select(F.inline(F.array(*pairs))), ["value"])
@@ -43,32 +43,45 @@ def describe(
     )
 
 
-def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
-    """Counts in equal-width bins from minimum to maximum, empty bins included."""
-    df = nan_as_missing(df, [column])
-    span = df.agg(F.min(column).cast("double"), F.max(column).cast("double")).first()
-    if span[0] is None:
-        return df.sparkSession.createDataFrame(
-            [], "bin INT, lower DOUBLE, upper DOUBLE, n BIGINT"
-        )
-    low, high = span if span[0] < span[1] else (span[0] - 0.5, span[1] + 0.5)
-    width = (high - low) / bins
-    place = F.floor((F.col(column).cast("double") - F.lit(low)) / F.lit(width)).cast("int")
+def histograms(df: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
+    """Counts of several columns in equal-width bins from minimum to maximum, empty bins included.
+
+    One aggregate finds all spans, and one counts all bins. Spans are those of the finite
+    values; an infinity counts in the first or last bin. A column without finite values has
+    no bins. Two numbers per column pass through the driver.
+    """
+    values = _melt(df, columns)
+    finite = F.when(F.abs("value") < float("inf"), F.col("value"))
+    spans = values.groupBy("variable").agg(F.min(finite).alias("low"), F.max(finite).alias("high"))
+    bin_of, edges = [], []
+    for name, low, high in spans.where("low IS NOT NULL").collect():
+        low, high = (low, high) if low < high else (low - 0.5, high + 0.5)
+        width = (high - low) / bins
+        value = F.nanvl(F.col(quoted(name)).cast("double"), F.lit(None))
+        place = F.least(F.floor((value - low) / width).cast("int"), F.lit(bins - 1))
+        place = F.when(value <= low, 0).when(value >= high, bins - 1).when(value.isNotNull(), place)
+        bin_of.append(F.struct(F.lit(name).alias("variable"), place.alias("bin")))
+        edges += [
+            F.struct(F.lit(name).alias("variable"), F.lit(i).alias("bin"), F.lit(low + i * width).alias("lower"), F.lit(low + (i + 1) * width).alias("upper"))
+            for i in range(bins)
+        ]
+    if not edges:
+        return df.sparkSession.createDataFrame([], "variable STRING, bin INT, lower DOUBLE, upper DOUBLE, n BIGINT")
     counts = (
-        df.where(F.col(column).isNotNull())
-        .groupBy(F.least(place, F.lit(bins - 1)).alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        df.select(F.inline(F.array(*bin_of))).where("bin IS NOT NULL")
+        .groupBy("variable", "bin").agg(F.count(F.lit(1)).alias("n"))
     )
-    edges = df.sparkSession.range(bins).select(
-        F.col("id").cast("int").alias("bin"),
-        (F.lit(low) + F.col("id") * width).alias("lower"),
-        (F.lit(low) + (F.col("id") + 1) * width).alias("upper"),
-    )
-    return edges.join(counts, "bin", "left").select(
-        "bin", "lower", "upper", F.coalesce("n", F.lit(0)).alias("n")
+    grid = df.sparkSession.range(1).select(F.inline(F.array(*edges)))
+    return grid.join(counts, ["variable", "bin"], "left").select(
+        "variable", "bin", "lower", "upper", F.coalesce("n", F.lit(0)).alias("n")
     )
 
 
+def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
+    """The bins of one column; see ``histograms``."""
+    return histograms(df, [column], bins).drop("variable")
+
+
 def winsorise(
     df: DataFrame,
     columns: dict[str, str],
@@ -108,5 +121,5 @@ def trimming_report(
     return {
         "describe": describe(df, both),
         "means": group_means(df, arm, list(columns.values())),
-        **{f"histogram_{c}": histogram(df, c, bins) for c in both},
+        "histograms": histograms(df, both, bins),
     }

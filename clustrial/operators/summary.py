@@ -48,3 +48,9 @@ def rounded_summary(
             *[F.bround(F.stddev_samp(c), places).alias(f"{c}_std") for c in columns],
         )
     )
+
+
+def arm_report(df: DataFrame, value: str, arm: str = "allocation", unit: str = "joint_id") -> DataFrame:
+    """Clusters, mean and sample SD of a value by arm, rounded half to even to whole numbers."""
+    summary = rounded_summary(df, arm, [value], unit, places=0)
+    return summary.toDF(arm, "clusters", "mean", "sd")

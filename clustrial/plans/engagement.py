@@ -12,6 +12,7 @@ from clustrial.functions import (
     alert_org_type,
     event_window,
     has_keys,
+    nan_as_missing,
     org_id,
     org_type,
     sum_or_zero,
@@ -20,6 +21,7 @@ from clustrial.operators.clusters import roll_up
 from clustrial.operators.positions import add_rank
 from clustrial.operators.reshape import pivot_dense
 from clustrial.operators.robust import winsorise
+from clustrial.operators.summary import arm_summary
 from clustrial.sources.tables import store
 
 ORG_TYPES = ["ccg", "practice"]  # Fixed values: the kinds of organisation page.
@@ -47,7 +49,7 @@ def pair_visit_dates(
         .distinct()
         .join(sizes, "joint_id")
     )
-    ranked = add_rank(units, "list_size", "size_rank", ["allocation"])
+    ranked = add_rank(store(units, "units"), "list_size", "size_rank", ["allocation"])
     visited = ranked.where(F.col("allocation") == "I").select(
         "size_rank", F.col("date").alias("date_int")
     )
@@ -124,7 +126,7 @@ def cluster_page_views(
 def trimmed_page_views(grid: DataFrame, kind: str) -> DataFrame:
     """Clusters' views of one org type, capped at the 95th percentile of all clusters."""
     return winsorise(
-        grid.where(F.col("org_type") == kind),
+        store(grid.where(F.col("org_type") == kind), "page-view-grid"),  # one row per cluster, read three times
         {"views_before": "proxy_views_before", "views_after": "proxy_views_after"},
     )
 
@@ -177,3 +179,17 @@ def cluster_alerts(
         "CAST(list_size AS DOUBLE) / 100000 AS list_size_100k",
         *[f"coalesce({name}, 0) AS {name}" for name in cells],
     )
+
+
+def alert_summary(counts: DataFrame, kind: str) -> DataFrame:
+    """Alerts of one org type by arm before and after, with mean and SD of the list size."""
+    alerts = arm_summary(counts, "intervention", f"alerts_{kind}_before", f"alerts_{kind}_after").toDF(
+        "intervention", "units", "before_mean", "before_std", "after_mean", "after_std", "change"
+    )
+    sizes = (
+        nan_as_missing(counts, ["intervention", "list_size_100k"])
+        .where(has_keys(["intervention"]))
+        .groupBy("intervention")
+        .agg(F.avg("list_size_100k").alias("size_mean"), F.stddev_samp("list_size_100k").alias("size_std"))
+    )
+    return alerts.join(sizes, "intervention")

@@ -3,10 +3,12 @@
 from clustrial.sources.reports import flatten_report, sampling_notice, unread_pages
 from clustrial.sources.schemas import SCHEMAS
 from clustrial.sources.tables import (
+    TableStore,
     append_all,
     read_csv,
     read_table,
     shared_folder,
+    sized,
     store,
     store_counted,
     store_in_slices,
@@ -16,12 +18,14 @@ from clustrial.sources.tables import (
 
 __all__ = [
     "SCHEMAS",
+    "TableStore",
     "append_all",
     "flatten_report",
     "read_csv",
     "read_table",
     "sampling_notice",
     "shared_folder",
+    "sized",
     "store",
     "store_counted",
     "store_in_slices",

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Sequence
+from contextvars import ContextVar
 from functools import reduce
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 SLICE = "_slice"
-SLICE_BYTES = 64 << 20  # input of a slice, as it lies on disk
-MIN_SLICES = 4
+SLICE_ROWS = 1 << 19
+MIN_SLICES = 1
 
 
 def read_table(
@@ -72,17 +76,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def _path(df: DataFrame, label: str) -> str:
-    return f"{shared_folder(df.sparkSession)}/clustrial/{label}-{uuid.uuid4().hex}"
+_owner: ContextVar[TableStore | None] = ContextVar("owner", default=None)
+
+
+def _path(spark: SparkSession, label: str) -> str:
+    owner = _owner.get()
+    folder = owner.folder if owner else f"{shared_folder(spark)}/clustrial"
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
 def store(df: DataFrame, label: str = "table") -> DataFrame:
     """Write once, read back: a frame used several times is computed once.
 
     The written table survives lost executors, gives every later branch the same
-    values, and has a known size, so joins against it are planned from fact.
+    values, and has a known size, so joins against it are planned from fact. Inside a
+    ``TableStore`` the table belongs to it and is deleted with it.
     """
-    path = _path(df, label)
+    path = _path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -95,20 +105,145 @@ def store_counted(df: DataFrame, label: str = "table") -> tuple[DataFrame, int]:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Bytes of all tables that ``df`` reads, as far as their size is known."""
+    """Bytes of all tables that ``df`` reads; a table of unknown size counts as Spark's largest."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.length())]
-    return sum(size for size in sizes if size < 1 << 60)
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.length()))
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """``df``, stored first if the size of something it reads is unknown, as of an RDD or local rows."""
+    return df if input_bytes(df) < 1 << 60 else store(df, "sized")
 
 
-def store_in_slices(df: DataFrame, keys: Sequence[str], label: str = "slices") -> DataFrame:
+def store_in_slices(
+    df: DataFrame, keys: Sequence[str], label: str = "slices", least: int | None = None
+) -> DataFrame:
     """Store ``df`` range-partitioned by ``keys``, with the range number in ``_slice``.
 
     Slices are ordered: every key in slice i sorts before every key in slice j > i.
     Ranges follow the data, so a group holding a third of the rows spans many slices.
     The number is written with the row, hence stable in everything read from it.
-    There are as many slices as the input has ``SLICE_BYTES``, at least ``MIN_SLICES``.
+    Rows are counted while they are stored a first time, whatever the size of the tables
+    they come from; there is a slice for every ``SLICE_ROWS``, and at least ``least``.
+    """
+    stored, rows = store_counted(df, label)
+    slices = max(least or MIN_SLICES, -(-rows // SLICE_ROWS))
+    if slices == 1:
+        return stored.withColumn(SLICE, F.lit(0))
+    return store(stored.repartitionByRange(slices, *keys).withColumn(SLICE, F.spark_partition_id()), label)
+
+
+class TableStore:
+    """Stored tables with an owner: named by what they hold, read if present, deleted at the end.
+
+    ``reuse(df, label)`` names a table by a hash of the canonical plan of ``df``, of the
+    name, length and time of change of every file it reads, and of the settings that
+    change results. If a finished table of that name is in the folder it is read, else it
+    is written under another name and moved into place, so that of two writers one wins and
+    an interrupted write is never read. Plans with parts that their text does not tell,
+    such as Python functions or local rows, have no such name; they are stored anew.
+
+    ``with TableStore(spark) as tables:`` makes every ``store`` inside its block write here
+    too. Closing deletes the tables that this owner wrote; those of a folder opened with
+    ``keep=True`` stay for later sessions, until ``clear``.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, keep: bool = False):
+        self.spark, self.keep = spark, keep
+        self.folder = (folder or f"{shared_folder(spark)}/clustrial/owned-{uuid.uuid4().hex}").rstrip("/")
+        self._own_folder = folder is None
+        self._written: list[str] = []
+        self._token = None
+
+    def __enter__(self) -> TableStore:
+        self._token = _owner.set(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _owner.reset(self._token)
+        self.close()
+
+    def reuse(self, df: DataFrame, label: str = "table") -> DataFrame:
+        name = content_name(df)
+        path = f"{self.folder}/{label}-{name or uuid.uuid4().hex}"
+        if not (name and self._exists(f"{path}/_SUCCESS")):
+            part = f"{self.folder}/_{uuid.uuid4().hex}"
+            df.write.parquet(part)
+            if not self._files(path).rename(self._place(part), self._place(path)):
+                self._delete(part)  # another writer was first
+                if not self._exists(f"{path}/_SUCCESS"):
+                    raise OSError(f"{path} cannot be written")
+            else:
+                self._written.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        """Delete what this owner wrote, unless it is to be kept."""
+        if self.keep:
+            return
+        for path in self._written:
+            self._delete(path)
+        self._written.clear()
+        if self._own_folder:
+            self._delete(self.folder)
+
+    def clear(self) -> None:
+        """Delete every table in the folder."""
+        self._delete(self.folder)
+        self._written.clear()
+
+    def _place(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _files(self, path: str):
+        return self._place(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _exists(self, path: str) -> bool:
+        return self._files(path).exists(self._place(path))
+
+    def _delete(self, path: str) -> None:
+        self._files(path).delete(self._place(path), True)
+
+
+# Leaves whose text, with the files they read, tells all they hold.
+_TOLD = {"LogicalRelation", "Range", "OneRowRelation"}
+# Classes of plan nodes and expressions that call code the plan only names.
+_UNTOLD = re.compile(r"\.(?:\w*Python\w+|Scala\w+|\w*(?:MapIn|FlatMap|MapGroups|MapPartitions|MapElements|TypedFilter|Invoke)\w*)\"")
+_SETTINGS = ("spark.sql.session.timeZone", "spark.sql.ansi.enabled", "spark.sql.caseSensitive", "spark.sql.legacy.timeParserPolicy")
+
+
+def content_name(df: DataFrame) -> str | None:
+    """A name for what ``df`` holds, or None where its plan does not tell."""
+    plan = df._jdf.queryExecution().analyzed()
+    leaves = plan.collectLeaves()
+    kinds = [leaves.apply(i) for i in range(leaves.length())]
+    # All fields, however many: a plan's plain text leaves some out.
+    text = plan.canonicalized().treeString(True, False, (1 << 31) - 1, False, False)
+    if any(leaf.getClass().getSimpleName() not in _TOLD for leaf in kinds) or _UNTOLD.search(plan.toJSON()):
+        return None
+    told = [df.sparkSession.version, text, df.schema.json(), *[str(df.sparkSession.conf.get(s)) for s in _SETTINGS]]
+    for leaf in kinds:
+        if leaf.getClass().getSimpleName() == "LogicalRelation":
+            version = _files_version(df.sparkSession, leaf)
+            if version is None:
+                return None
+            told.append(version)
+    return hashlib.sha256("\0".join(told).encode()).hexdigest()
+
+
+def _files_version(spark: SparkSession, leaf) -> str | None:
+    """How files are read, and count and hash of their names, lengths and times of change.
+
+    The canonical plan numbers columns, so their names come from the relation.
     """
-    slices = max(MIN_SLICES, -(-input_bytes(df) // SLICE_BYTES))
-    ranged = df.repartitionByRange(slices, *keys).withColumn(SLICE, F.spark_partition_id())
-    return store(ranged, label)
+    try:
+        relation = leaf.relation()
+        paths = relation.location().rootPaths()
+        how = f"{relation.fileFormat().getClass().getName()} {relation.options().toString()} {leaf.schema().json()}"
+    except Py4JError:  # not a relation of files
+        return None
+    roots = [paths.apply(i).toString() for i in range(paths.length())]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
+    mark = F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)"))
+    n, total = files.agg(F.count(F.lit(1)), mark).first()
+    return f"{how} {sorted(roots)} {n} {total}"
