@@ -15,16 +15,19 @@ START, END = "<|im_start|>", "<|im_end|>"
 
 
 def _turns(df: DataFrame) -> DataFrame:
-    return df.select(
+    """The turns; ``own`` sets a turn without conversation id apart from all others."""
+    turns = df.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit("unknown")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
+    told = F.concat_ws("|", F.coalesce(F.col("turn").cast("string"), F.lit("-")), F.length("role"), "role", "text")
+    return turns.withColumn("own", F.when(F.col("conv_id").isNull(), F.sha2(told, 256)))
 
 
 def prefix_hashes(df: DataFrame) -> DataFrame:
-    """``conv_id, n, prefix, whole``: the hash of the first ``n`` turns, for every n.
+    """``conv_id, own, n, prefix, whole``: the hash of the first ``n`` turns, for every n.
 
     Each hash is that of the one before it, the role and the text of the turn, so equal
     hashes mean equal turns from the start on. ``whole`` marks the hash of all turns.
@@ -38,42 +41,44 @@ def prefix_hashes(df: DataFrame) -> DataFrame:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row == seen:
                     continue
-                conv, _, role, digest = row
-                same = seen is not None and seen[0] == conv
+                conv, own, _, role, digest = row
+                same = seen is not None and seen[:2] == (conv, own)
                 if last is not None:
                     out.append((*last, not same))
                 n, prefix = (n + 1, prefix) if same else (1, b"")
                 prefix = blake2b(f"{len(role)} {role}{digest}".encode("utf-8", "replace") + prefix, digest_size=16).digest()
-                last, seen = (conv, n, prefix.hex()), row
+                last, seen = (conv, own, n, prefix.hex()), row
             yield table(out)
         if last is not None:
             yield table([(*last, True)])
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
-        types = [pa.int64(), pa.int64(), pa.string(), pa.bool_()]
-        columns = list(zip(*rows)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["conv_id", "n", "prefix", "whole"])
+        types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_()]
+        columns = list(zip(*rows)) or [[]] * 5
+        names = ["conv_id", "own", "n", "prefix", "whole"]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    turns = _turns(df).select("conv_id", "turn", "role", F.sha2("text", 256).alias("digest"))
-    order = ["conv_id", "turn", "role", "digest"]
+    order = ["conv_id", "own", "turn", "role", "digest"]
+    turns = _turns(df).withColumn("digest", F.sha2("text", 256)).select(*order)
     return (
-        turns.repartition("conv_id").sortWithinPartitions(*order)
-        .mapInArrow(chain, "conv_id long, n long, prefix string, whole boolean")
+        turns.repartition("conv_id", "own").sortWithinPartitions(*order)
+        .mapInArrow(chain, "conv_id long, own string, n long, prefix string, whole boolean")
     )
 
 
 def maximal(hashes: DataFrame) -> DataFrame:
-    """``conv_id, n_turns, n_copies`` of conversations that prefix no longer one.
+    """``conv_id, own, n_turns, n_copies`` of conversations that prefix no longer one.
 
-    Equal conversations are one, under their smallest id. Prefixes of longer conversations
-    are made distinct on the map side before the anti-join, so a first turn that a third of
-    all conversations share is one row there.
+    Equal conversations are one, under their smallest id, if any has one. Prefixes of longer
+    conversations are made distinct on the map side before the anti-join, so a first turn
+    that a third of all conversations share is one row there.
     """
     whole = hashes.filter("whole").groupBy("prefix", F.col("n").alias("n_turns")).agg(
-        F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_copies")
+        F.min(F.struct(F.col("conv_id").isNull(), "conv_id", "own")).alias("first"), F.count(F.lit(1)).alias("n_copies")
     )
     proper = hashes.filter("not whole").select("prefix").distinct()
-    return whole.join(proper, "prefix", "left_anti").select("conv_id", "n_turns", "n_copies")
+    kept = whole.join(proper, "prefix", "left_anti")
+    return kept.select("first.conv_id", "first.own", "n_turns", "n_copies")
 
 
 def render(df: DataFrame, kept: DataFrame) -> DataFrame:
@@ -87,22 +92,25 @@ def render(df: DataFrame, kept: DataFrame) -> DataFrame:
         return F.replace(F.col(column), F.lit("<|"), F.lit("< |"))
 
     turns = _turns(df)
-    one = turns.join(kept.select(F.col("conv_id").alias("k")), F.col("conv_id").eqNullSafe(F.col("k")), "left_semi")
+    # The key spreads turns without id, which have no number but a hash.
+    key = F.coalesce(F.col("conv_id").cast("string"), "own").alias("key")
+    one = turns.select("*", key).join(kept.select(key), "key", "left_semi")
     said = F.concat(F.lit(START), plain("role"), F.lit("\n"), plain("text"), F.lit(END + "\n"))
     parts = F.collect_set(F.struct("turn", "role", F.sha2("text", 256).alias("digest"), said.alias("said")))
-    texts = one.groupBy("conv_id").agg(F.array_sort(parts).alias("parts")).select(
-        F.col("conv_id").alias("c"), F.array_join(F.transform("parts", lambda p: p["said"]), "").alias("text")
+    texts = one.groupBy("key").agg(F.array_sort(parts).alias("parts")).select(
+        "key", F.array_join(F.transform("parts", lambda p: p["said"]), "").alias("text")
     )
-    return kept.join(texts, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+    return kept.select("*", key).join(texts, "key").drop("key", "own")
 
 
 def format_chats(df: DataFrame) -> DataFrame:
     """``conv_id, n_turns, n_copies, text`` of every maximal conversation.
 
     ``df`` has ``conv_id, turn, role, text``. A missing role is ``unknown``, a missing text
-    empty, and turns without conversation id are one conversation without id. A rendered
-    conversation is one row, so its turns must fit in memory together; nothing else is
-    gathered by conversation. An empty table gives no rows.
+    empty, and a turn without conversation id is a conversation of its own, equal rows of it
+    one and the same. Repeated rows count once. A rendered conversation is one row, so its
+    turns must fit in memory together; nothing else is gathered by conversation. An empty
+    table gives no rows.
     """
     hashes = store(prefix_hashes(df), "prefixes")
     return render(df, store(maximal(hashes), "maximal"))
@@ -113,7 +121,7 @@ WITH t AS (
   SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
 c AS (
   SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, role, sha256(text)) AS t
-  FROM t GROUP BY conv_id),
+  FROM t GROUP BY conv_id, CASE WHEN conv_id IS NULL THEN struct_pack(turn, role, text) END),
 u AS (SELECT t, min(conv_id) AS conv_id, count(*) AS n_copies FROM c GROUP BY t)
 SELECT conv_id, CAST(len(t) AS BIGINT) AS n_turns, n_copies,
   array_to_string(list_transform(t, lambda x: '<|im_start|>' || replace(x.role, '<|', '< |') || chr(10)

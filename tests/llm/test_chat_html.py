@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from clustrial.llm import chat, html_text
 
@@ -24,6 +25,24 @@ def test_snapshots_collapse_to_maximal_conversations(spark):
     assert chat.format_chats(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_turns_without_conversation_id_stay_apart(spark):
+    rows = [(None, 0, "user", "a"), (None, 0, "user", "b"), (None, 1, "user", "c"), (None, 0, "user", "a"), (None, 2, "user", "c"), (4, 0, "user", "b"), (None, None, None, None), (5, 0, "user", "d"), (5, 1, "user", "e"), (None, 7, "user", "d")]
+    df = spark.createDataFrame([(*r, 0, "", 0) for r in rows], SCHEMA).repartition(3)
+    got = sorted((r.conv_id or 0, r.n_turns, r.n_copies, r.text.count("<|im_start|>"), r.text[:19]) for r in chat.format_chats(df).collect())
+    assert got == [
+        (0, 1, 1, 1, "<|im_start|>unknown"), (0, 1, 1, 1, "<|im_start|>user\na<"), (0, 1, 2, 1, "<|im_start|>user\nc<"),
+        (4, 1, 2, 1, "<|im_start|>user\nb<"), (5, 2, 1, 2, "<|im_start|>user\nd<"),
+    ]
+    hot = spark.range(4000).selectExpr("cast(null as long) AS conv_id", "id AS turn", "'user' AS role", "cast(id AS string) AS text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = chat.prefix_hashes(hot).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 1 and max(r["count"] for r in sizes) < 3000
+    assert chat.format_chats(hot).count() == 4000
+
+
 PAGES = [
     ("<p>a<p>b <b>c</b>d<br>e", "a\n\nb cd\ne"),
     ("<ul><li>one<li>two<ol start=3><li>x<li>y</ol><li>three</ul>after", "- one\n- two\n  3. x\n  4. y\n- three\nafter"),
