@@ -13,8 +13,8 @@ _HEAD = "<QQBQ"
 class EliasFano:
     """Values v[0] <= v[1] <= ...: low bits packed, high parts in unary in a bit vector.
 
-    About 2 + log2(largest / count) bits for each value. ``select`` reads one value without
-    decoding the others; ``values`` decodes all.
+    About 2 + log2(largest / count) bits for each value. ``select`` reads one value and
+    ``run`` some consecutive ones without decoding the others; ``values`` decodes all.
     """
 
     def __init__(self, count: int, low_bits: int, low: bytes, high: bytes, samples: np.ndarray):
@@ -72,9 +72,24 @@ class EliasFano:
         place = (byte << 3) + (word & -word).bit_length() - 1
         return ((place - i) << self.low_bits) | self._low(i)
 
-    def values(self) -> np.ndarray:
-        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.count]
-        high = (places - np.arange(self.count)).astype(np.uint64) << np.uint64(self.low_bits)
-        bits = np.unpackbits(self.low, bitorder="little")[: self.count * self.low_bits]
-        low = bits.reshape(self.count, self.low_bits).astype(np.uint64)
+    def run(self, first: int, last: int) -> np.ndarray:
+        """The values from position ``first`` up to ``last``, from the nearest kept place onward."""
+        if not 0 <= first <= last <= self.count:
+            raise IndexError((first, last))
+        if first == last:
+            return np.empty(0, np.uint64)
+        byte = int(self.samples[first // SAMPLE]) >> 3
+        following = (last - 1) // SAMPLE + 1
+        end = (int(self.samples[following]) >> 3) + 1 if following < len(self.samples) else len(self.high)
+        places = np.flatnonzero(np.unpackbits(self.high[byte:end], bitorder="little")) + (byte << 3)
+        skip = int(np.searchsorted(places, self.samples[first // SAMPLE])) + first % SAMPLE
+        places = places[skip : skip + last - first]
+        high = (places - np.arange(first, last)).astype(np.uint64) << np.uint64(self.low_bits)
+        start = first * self.low_bits
+        packed = self.low[start >> 3 : (last * self.low_bits + 7) >> 3]
+        bits = np.unpackbits(packed, bitorder="little")[start & 7 :][: (last - first) * self.low_bits]
+        low = bits.reshape(last - first, self.low_bits).astype(np.uint64)
         return high | (low << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+
+    def values(self) -> np.ndarray:
+        return self.run(0, self.count)

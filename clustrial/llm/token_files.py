@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 
 from clustrial.llm.elias_fano import EliasFano
 from clustrial.llm.tokens import crc32, default_tokenizer, encoded_rows
-from clustrial.sources.tables import input_bytes, shared_folder, store
+from clustrial.sources.tables import input_bytes, shared_folder, sized, store
 
 MAGIC = b"EFTOK001"
 # Footer: width of an id, documents, documents without id, smallest id, bytes of both codes.
 _FOOT = "<BQQqQQ8s"
 SHARD_BYTES = 8 << 20  # of input, as read
+AT_ONCE = 1024  # documents whose boundaries are read together
 
 
 def write_token_files(
@@ -50,8 +51,10 @@ def write_token_files(
     folder = folder or f"{shared_folder(spark)}/token-files/{uuid.uuid4().hex}"
     folder = folder if re.match(r"[a-z0-9]+:", folder) else "file://" + folder
     name = tokenizer or default_tokenizer()
-    docs = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
+    docs = sized(df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")))
+    # Equal rows give equal documents in any order; the last key spreads them over shards.
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("text"), F.col("tie")]
+    docs = docs.withColumn("tie", F.monotonically_increasing_id())
     shards = max(1, -(-input_bytes(docs) // shard_bytes))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,27 +116,38 @@ class TokenShard:
     def document(self, i: int) -> np.ndarray:
         return self.ids[self.starts.select(i) : self.starts.select(i + 1)]
 
-    def document_ids(self) -> list[int | None]:
-        return [None] * self.n_missing + [int(k) + self.least for k in self.keys.values()]
+    def boundaries(self, first: int, last: int) -> np.ndarray:
+        """Where the documents ``first`` up to ``last`` start, and where the last of them ends."""
+        return self.starts.run(first, last + 1).astype(np.int64)
+
+    def document_ids(self, first: int, last: int) -> list[int | None]:
+        """The ids of the documents ``first`` up to ``last``; those without id come first."""
+        missing = max(min(last, self.n_missing) - first, 0)
+        keys = self.keys.run(max(first - self.n_missing, 0), max(last - self.n_missing, 0))
+        return [None] * missing + [k + self.least for k in keys.tolist()]
 
 
 def read_token_files(
     spark: SparkSession, folder: str, manifest: DataFrame, with_ids: bool = False
 ) -> DataFrame:
-    """The documents in the shards: ``doc_id, start, n_tokens, ids_crc32`` and, if asked, ``ids``."""
+    """The documents in the shards: ``doc_id, start, n_tokens, ids_crc32`` and, if asked, ``ids``.
+
+    Boundaries come out of the Elias-Fano code through its kept places, ``AT_ONCE`` documents
+    at a time; no table of all boundaries is made.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 shard = TokenShard(memoryview(data.as_buffer()))
-                starts = shard.starts.values().astype(np.int64)
-                keys = shard.document_ids()
-                for k in range(0, shard.n_docs, 1024):
-                    spans = list(zip(starts[k : k + 1024], starts[k + 1 : k + 1025]))
+                for k in range(0, shard.n_docs, AT_ONCE):
+                    last = min(k + AT_ONCE, shard.n_docs)
+                    starts = shard.boundaries(k, last)
+                    spans = list(zip(starts[:-1], starts[1:]))
                     found = [shard.ids[a:b] for a, b in spans]
                     out = {
                         "name": [path.rsplit("/", 1)[-1]] * len(spans),
-                        "doc_id": pa.array(keys[k : k + 1024], pa.int64()),
+                        "doc_id": pa.array(shard.document_ids(k, last), pa.int64()),
                         "place": [int(a) for a, _ in spans],
                         "n_tokens": [int(b - a) for a, b in spans],
                         "ids_crc32": [crc32(x) for x in found],

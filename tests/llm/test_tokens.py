@@ -56,6 +56,31 @@ def test_elias_fano_keeps_all_values(values):
     code = EliasFano.frombytes(EliasFano.encode(np.array(values, np.uint64)).tobytes())
     assert code.values().tolist() == values
     assert [code.select(i) for i in range(len(values))] == values
+    for first in range(0, len(values) + 1, 7):
+        assert code.run(first, len(values)).tolist() == values[first:]
+        assert code.run(0, first).tolist() == values[:first]
+
+
+def test_runs_of_many_values_start_at_any_place():
+    rng = np.random.default_rng(4)
+    values = np.cumsum(rng.integers(0, 9000, 3000) * (rng.random(3000) < 0.4))
+    code = EliasFano.frombytes(EliasFano.encode(values).tobytes())
+    for first, last in [(0, 3000), (255, 257), (256, 512), (1, 2), (2999, 3000), (700, 700), (511, 2049)]:
+        assert code.run(first, last).tolist() == values[first:last].tolist()
+
+
+def test_equal_rows_and_rows_of_unknown_size_are_spread_over_shards(spark):
+    rows = [(0, "the same placeholder")] * 20_000 + [(i, f"text {i}") for i in range(1, 2000)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 8), "doc_id long, text string")
+    folder, manifest = write_token_files(df, shard_bytes=2000)
+    sizes = [r.n_docs for r in manifest.collect()]
+    assert len(sizes) > 5 and sum(sizes) == len(rows) and max(sizes) < 6_000
+    got = read_token_files(spark, folder, manifest)
+    placeholder = got.filter("doc_id = 0").groupBy("n_tokens", "ids_crc32").count().collect()
+    assert len(placeholder) == 1 and placeholder[0]["count"] == 20_000
+    starts = sorted((r.start, r.n_tokens, r.doc_id) for r in got.collect())
+    assert [s for s, _, _ in starts] == list(np.cumsum([0, *[n for _, n, _ in starts]])[:-1])
+    assert [d for _, _, d in starts] == sorted(d for d, _ in rows)
 
 
 def test_elias_fano_is_near_minimal():
