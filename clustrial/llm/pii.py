@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clustrial.llm.names import unused_name
+
 ROUNDS = 8  # even, so that halves of unequal length come back in order
 DIGITS, HEX, ALNUM = "0123456789", "0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyz"
 
@@ -166,7 +168,7 @@ def pseudonymise(
     """
     text = F.col(text_column)
     combined = F.lit(COMBINED)
-    hits, new = (_unused(df, name) for name in ("hits", "new"))
+    hits, new = (unused_name(df, name) for name in ("hits", "new"))
     marked = df.withColumn(hits, F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, combined, F.lit(0))))
     marked = marked.withColumn(new, F.expr(f"transform(`{hits}`, m -> {_pseudonym(key)})"))
     between = F.split(text, COMBINED, -1)
@@ -182,11 +184,3 @@ def pseudonymise(
             found_column: F.coalesce(changed, nothing),
         }
     ).drop(hits, new)
-
-
-def _unused(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` doesn't have, whatever the case of its letters."""
-    taken = {c.lower() for c in df.columns}
-    while name in taken:
-        name += "_"
-    return name

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clustrial.llm.components import components
+from clustrial.llm.names import unused_name
 from clustrial.sources.tables import store
 
 SHINGLE = 3
@@ -44,7 +45,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def _text_hash(text_column: str) -> Column:
-    return F.coalesce(F.sha2(F.col(text_column), 256), F.lit("missing"))
+    return F.coalesce(F.sha2(F.col(f"`{text_column}`"), 256), F.lit("missing"))
 
 
 def fingerprints(
@@ -123,11 +124,15 @@ def one_of_each(df: DataFrame, found: DataFrame, id_column: str = "doc_id", text
     """
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     first = found.groupBy("node").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n"))
-    chosen = first.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"), "n")
-    chosen = store(chosen, "chosen")
-    named = df.withColumn("_text_hash", _text_hash(text_column))
-    same = F.col(id_column).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
-    alone = named.join(chosen.filter("n = 1"), same, "left_semi")
-    others = named.withColumn("_doc_id", F.col(id_column).cast("long")).join(chosen.filter("n > 1"), same, "left_semi")
-    one = others.dropDuplicates(["_doc_id", "_text_hash"])
-    return alone.drop("_text_hash").union(one.drop("_doc_id", "_text_hash"))
+    name, mark = unused_name(df, "chosen_id"), unused_name(df, "chosen_hash")
+    chosen = store(first.select(F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash"), "n"), "chosen")
+    named = df.withColumns({name: F.col(f"`{id_column}`").cast("long"), mark: _text_hash(text_column)})
+
+    def of(rows: DataFrame) -> DataFrame:
+        picked = rows.select(F.col("id").alias(name + "_"), F.col("hash").alias(mark + "_"))
+        same = F.col(name).eqNullSafe(F.col(name + "_")) & (F.col(mark) == F.col(mark + "_"))
+        return named.join(picked, same, "left_semi")
+
+    alone = of(chosen.filter("n = 1"))
+    one = of(chosen.filter("n > 1")).dropDuplicates([name, mark])
+    return alone.union(one).drop(name, mark)

@@ -200,3 +200,12 @@ def test_pseudonyms_leave_other_columns_and_awkward_rows(spark):
     assert out.columns == [*df.columns, "pii_found"]
     assert sorted(map(str, out.select("doc_id", "text").collect())) == sorted(map(str, df.select("doc_id", "text").collect()))
     assert pii.pseudonymise(df.limit(0), "k").count() == 0
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c d e"), (2, "a b c d e"), (None, "x y z q r s"), (3, None)]
+    names = {"_text_hash": 1, "_doc_id": 2, "chosen_id": 3, "chosen_hash": 4, "_id": 5, "hash": 6}
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({k: F.lit(v) for k, v in names.items()})
+    kept = simhash.one_of_each(df, simhash.near_duplicates(df))
+    assert kept.columns == df.columns
+    assert sorted(map(str, (tuple(r) for r in kept.collect()))) == sorted(str((*r, *names.values())) for r in (rows[0], rows[2], rows[3]))
