@@ -1,4 +1,4 @@
-"""Ordinary least squares with full inference, from distributed moments."""
+"""Ordinary least squares with full inference, from distributed moments or triangular factors."""
 
 from __future__ import annotations
 
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from clustrial.functions import has_keys, nan_as_missing, quoted
 from clustrial.functions.tails import f_upper, t_quantile, t_two_sided
-from clustrial.sources.tables import SLICE, store, store_in_slices
+from clustrial.operators.factors import factors, triangle
+from clustrial.sources.tables import in_slices, store
 
 
 @dataclass(frozen=True)
@@ -134,15 +135,39 @@ def _solve_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
+def _solve_factor(n: int, factor: np.ndarray) -> tuple:
+    """As ``_solve``, from the triangle of a column of ones, the response and the predictors."""
+    k = len(factor) - 2
+    # The response goes last: then the predictors' own triangle stands in the upper left.
+    r = triangle(factor[:, [0, *range(2, k + 2), 1]])
+    own, total = r[: k + 1, : k + 1], float(r[1:, k + 1] @ r[1:, k + 1])
+    singular = np.linalg.svd(own, compute_uv=False)
+    condition = float(singular[0] / singular[-1]) if singular[-1] > 0 else None
+    spread = np.linalg.norm(own[1:, 1:], axis=0)
+    if n < k + 1 or np.any(spread <= 1e-12 * np.maximum(np.abs(own[0, 1:]), 1e-300)):
+        return None, None, condition, total
+    if np.linalg.svd(own[1:, 1:] / spread, compute_uv=False)[-1] < 1e-12:
+        return None, None, condition, total
+    inverse = np.linalg.inv(own)
+    return (inverse @ r[: k + 1, k + 1]).tolist(), (inverse**2).sum(axis=1).tolist(), condition, total
+
+
+def _solve_factors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        solved = [
+            (None, None, None, None) if rows is None else _solve_factor(int(n), np.reshape(rows, (round(len(rows) ** 0.5), -1)))
+            for n, rows in zip(batch["n"], batch["rows"])
+        ]
+        out = batch.drop(columns=["rows", "steps"], errors="ignore")
+        for i, name in enumerate(("coef", "diagonal", "cond_no", "sst")):
+            out[name] = pd.Series([s[i] for s in solved], index=batch.index, dtype=object)
+        yield out
+
+
 def _residual_sums(
-    rows: DataFrame,
-    solved: DataFrame | dict[str, Column],
-    y: str,
-    x: Sequence[str],
-    by: Sequence[str],
-    ordered: bool,
+    rows: DataFrame, solved: DataFrame | dict[str, Column], y: str, x: Sequence[str], by: Sequence[str]
 ) -> DataFrame:
-    """Power sums of the residuals, and the sum of squared steps between neighbours."""
+    """Power sums of the residuals, over rows in any order."""
     if by:
         rows = rows.join(solved.select(*by, "coef"), list(by))
     coef = [F.col("coef")[i] if by else solved["coef"][i] for i in range(len(x) + 1)]
@@ -150,31 +175,19 @@ def _residual_sums(
     for c, name in zip(coef[1:], x):
         fitted = fitted + c * F.col(name)
     rows = rows.withColumn("e", F.col(y) - fitted)
-    powers = [F.expr(f"sum({'*'.join('e' * p)}) AS e{p}") for p in range(1, 5)]
-    if not ordered:
-        return rows.groupBy(*by).agg(*powers, F.expr("CAST(NULL AS DOUBLE) AS steps"))
-
-    groups = ", ".join(quoted(c) for c in by)
-    slice_key = ", ".join(filter(None, [groups, SLICE]))
-    group_key = f"PARTITION BY {groups}" if by else ""
-    per_slice = (
-        rows.withColumn("step", F.expr(f"e - lag(e) OVER (PARTITION BY {slice_key} ORDER BY place)"))
-        .groupBy(*by, SLICE)
-        .agg(
-            *powers,
-            F.expr("coalesce(sum(step * step), 0D) AS steps"),
-            F.expr("min_by(e, place) AS first_e"),
-            F.expr("max_by(e, place) AS last_e"),
-        )
-    )
-    # The step from the last row of one slice to the first of the next.
-    seam = f"first_e - lag(last_e) OVER ({group_key} ORDER BY {SLICE})"
-    return (
-        per_slice.withColumn("seam", F.expr(seam))
-        .withColumn("steps", F.expr("steps + coalesce(seam * seam, 0D)"))
-        .groupBy(*by)
-        .agg(*[F.expr(f"sum({c}) AS {c}") for c in ("e1", "e2", "e3", "e4", "steps")])
-    )
+    return rows.groupBy(*by).agg(*[F.expr(f"sum({'*'.join('e' * p)}) AS e{p}") for p in range(1, 5)])
+
+
+def _squared_steps(width: int) -> str:
+    """The sum of squared steps between neighbouring residuals, a quadratic form of the coefficients.
+
+    A step of the residuals is the step of the response less that of the fit, in which the
+    intercept drops out; with the triangle of all steps it is the squared length of its
+    product with (1, -slopes). Without coefficients it is null.
+    """
+    weights = ["1D", *[f"(-coef[{i}])" for i in range(1, width)]]
+    lines = [" + ".join(f"steps[{i * width + j}] * {w}" for j, w in enumerate(weights)) for i in range(width)]
+    return f"CASE WHEN steps IS NULL AND coef IS NOT NULL THEN 0D ELSE {' + '.join(f'pow({line}, 2)' for line in lines)} END"
 
 
 def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -319,17 +332,25 @@ def fit_ols(
     by: Sequence[str] = (),
     order_by: Sequence[str] = (),
     confidence: float = 0.95,
+    solver: str = "moments",
 ) -> OlsFit:
     """Fit ``y ~ 1 + x`` for each group of ``by``.
 
     Rows with a missing input or group (null or NaN) are left out; group and input columns
     may have any names. ``order_by`` names the row order the Durbin-Watson statistic refers
-    to; without it that statistic is null, and moments and residual sums are two
-    aggregations over ``df``, which is worth storing first if it is long in the making.
-    Only one row per group ever reaches Python. With ``order_by`` the narrow input is
-    stored in ordered slices, so neighbours are compared inside slices and at their
-    seams, and a group holding a third of the rows is spread over many tasks.
+    to; without it that statistic is null. ``solver="moments"`` fits from means and
+    covariances, one aggregation; ``"qr"`` from triangular factors merged in a tree, for
+    predictors so nearly collinear that their products lose the difference (the limit is
+    a relative distance of 1e-12 in place of 1e-5). A second aggregation sums powers of the
+    residuals. ``df`` is worth storing first if it is long in the making.
+
+    With ``order_by`` the narrow input is stored once and goes through one sorted pass,
+    which keeps the triangle of the steps between neighbours for each task and group; the
+    statistic then follows from the coefficients. A group holding a third of the rows is
+    spread over many tasks.
     """
+    if solver not in ("moments", "qr"):
+        raise ValueError(f"no such solver: {solver}")
     variables = [y, *x]
     names = ["y", *[f"x{i}" for i in range(len(x))]]
     place = [F.col(quoted(c)).alias(f"p{i}") for i, c in enumerate([*order_by, *variables])]
@@ -340,27 +361,43 @@ def fit_ols(
         *([F.struct(*place).alias("place")] if order_by else []),
     )
     rows = nan_as_missing(rows, [*by, *names]).where(has_keys([*by, *names]))
+    found = None
     if order_by:
-        rows = store_in_slices(rows, [*by, "place"], "ols")
+        rows, sorted_rows = in_slices(rows, [*by, "place"], "ols")
+        found = factors(sorted_rows, names, by, ordered=True, whole=solver == "qr")
+        found = store(found, "ols-factors")
+    elif solver == "qr":
+        found = factors(rows, names, by)
 
     kinds = dict(rows.dtypes)
     schema = ", ".join([*[f"`{name}` {kinds[name]}" for name in by], SOLVED_FIELDS])
-    solved = _moments(rows, names, by).mapInPandas(_solve_batches, schema)
+    if solver == "qr":
+        solved = found.select(*by, "n", "rows").mapInPandas(_solve_factors, schema)
+    else:
+        solved = _moments(rows, names, by).mapInPandas(_solve_batches, schema)
     if by:
         solved = store(solved, "ols-solved")
-        sums = _residual_sums(rows, solved, "y", names[1:], by, bool(order_by))
+        sums = _residual_sums(rows, solved, "y", names[1:], by)
         fits = solved.join(sums, list(by))
     else:
         # One group: its few numbers become constants of the next step.
         solved = _constants(solved)
-        sums = _residual_sums(rows, solved, "y", names[1:], by, bool(order_by))
+        sums = _residual_sums(rows, solved, "y", names[1:], by)
         fits = sums.withColumns(solved)
-    return OlsFit(fits, x, groups, confidence)
+    if not order_by:
+        return OlsFit(fits.withColumn("steps", F.lit(None).cast("double")), x, groups, confidence)
+    if by:
+        fits = fits.join(found.select(*by, "steps"), list(by))
+    else:
+        steps = found.select("steps").first()
+        fits = fits.withColumn("steps", F.lit(steps[0] if steps else None).cast("array<double>"))
+    return OlsFit(fits.withColumn("steps", F.expr(_squared_steps(len(names)))), x, groups, confidence)
 
 
 def _constants(solved: DataFrame) -> dict[str, Column]:
-    """The only row of a frame, as constants of the frame's types."""
-    (row,) = solved.collect()
+    """The only row of a frame, as constants of the frame's types; without a row, a fit of no rows."""
+    found = solved.collect()
+    row = found[0].asDict() if found else dict.fromkeys(solved.columns) | {"n": 0}
 
     def constant(value, kind: str) -> Column:
         if isinstance(value, list):

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from clustrial.functions import quoted
+
 SLICE = "_slice"
 SLICE_ROWS = 1 << 19
 MIN_SLICES = 1
@@ -56,6 +58,21 @@ def write_csv(df: DataFrame, path: str) -> None:
     )
 
 
+def save_bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int, path: str | None = None) -> DataFrame:
+    """Save ``df`` as a catalog table in buckets by ``keys``, sorted within each, and read it.
+
+    Tables saved with as many buckets by keys of the same types meet without a shuffle, and
+    are grouped by their keys without one. One file is written for each bucket, so all rows
+    of a key are in one file and task: sum facts that may have hot keys before saving them.
+    A table of that name is replaced. ``path`` is by default in the shared folder.
+    """
+    path = path or f"{shared_folder(df.sparkSession)}/clustrial/{name}-{uuid.uuid4().hex}"
+    files = df.repartition(buckets, *[F.col(quoted(c)) for c in keys])
+    writer = files.write.format("parquet").mode("overwrite").option("path", path)
+    writer.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def append_all(frames: Iterable[DataFrame]) -> DataFrame:
     """The frames one after the other, matched by column name."""
     return reduce(lambda left, right: left.unionByName(right), frames)
@@ -133,6 +150,18 @@ def store_in_slices(
     return store(stored.repartitionByRange(slices, *keys).withColumn(SLICE, F.spark_partition_id()), label)
 
 
+def in_slices(df: DataFrame, keys: Sequence[str], label: str = "slices") -> tuple[DataFrame, DataFrame]:
+    """``df`` stored, and its rows sorted by ``keys`` in partitions that follow each other.
+
+    For one pass over sorted rows: only the first frame is written. Rows with equal keys
+    may come in any order. Retried tasks give the same partitions, as ranges are drawn once
+    for each plan from the stored rows.
+    """
+    stored, rows = store_counted(df, label)
+    slices = max(MIN_SLICES, -(-rows // SLICE_ROWS))
+    return stored, stored.repartitionByRange(slices, *keys).sortWithinPartitions(*keys)
+
+
 class TableStore:
     """Stored tables with an owner: named by what they hold, read if present, deleted at the end.
 

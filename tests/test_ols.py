@@ -11,6 +11,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 
 from clustrial.functions.tails import f_upper, t_quantile, t_two_sided
+from clustrial.operators import factors as factors_module
+from clustrial.operators.factors import factors, triangle
 from clustrial.operators.ols import fit_ols
 
 
@@ -193,3 +195,71 @@ def test_nan_rows_are_left_out(spark):
     dirty = [*rows_, (float("nan"), 1.0), (1.0, float("nan")), (None, 2.0)]
     got = fit_ols(spark.createDataFrame(dirty, "x double, y double"), "y", ["x"]).coefficients.collect()
     assert [tuple(r)[1:] for r in got] == [pytest.approx(tuple(r)[1:]) for r in clean]
+
+
+@pytest.mark.parametrize("order_by", [[], ["id"]])
+def test_factors_give_the_same_summary(spark, sliced, monkeypatch, order_by):
+    monkeypatch.setattr(factors_module, "FAN_IN", 2)
+    pdf = _data(400, groups=4)
+    df = spark.createDataFrame(pdf).repartition(7)
+    fit = fit_ols(df, "y", ["x1", "x2"], by=["g"], order_by=order_by, solver="qr")
+    coefficients, model = fit.coefficients.toPandas(), fit.model.toPandas().set_index("g")
+    for group, part in pdf.groupby("g"):
+        line = model.loc[group].to_dict()
+        if not order_by:
+            assert math.isnan(line["durbin_watson"])
+            line["durbin_watson"] = _expected(part, ["x1", "x2"])[2]["durbin_watson"]
+        _check(coefficients[coefficients.g == group], line, part, ["x1", "x2"])
+    whole = fit_ols(df, "y", ["x1", "x2"], order_by=["id"], solver="qr")
+    _check(whole.coefficients.toPandas(), whole.model.first().asDict(), pdf, ["x1", "x2"])
+
+
+def test_nearly_collinear_predictors_are_told_apart_by_factors(spark):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"far": rng.integers(1, 2000, 3000) * 65536.0, "q": rng.integers(1, 50, 3000).astype(float)})
+    pdf["near"], pdf["y"] = pdf.far + pdf.q, 5 + 2 * pdf.q + rng.normal(size=3000)
+    apart, *_ = np.linalg.lstsq(np.column_stack([np.ones(3000), pdf.far, pdf.q]), pdf.y, rcond=None)
+    df = spark.createDataFrame(pdf).repartition(5)
+    assert {r.coef for r in fit_ols(df, "y", ["far", "near"]).coefficients.collect()} == {None}
+    got = [r.coef for r in fit_ols(df, "y", ["far", "near"], solver="qr").coefficients.collect()]
+    assert got == pytest.approx([apart[0], apart[1] - apart[2], apart[2]], rel=1e-6)
+
+
+@pytest.mark.parametrize("data", [[], [("a", 1.0, 2.0, 4.0)], [(str(i), 1.0 * i * i, 1.0 * i, 2.0 * i) for i in range(9)], [("a", 2.0, 3.0, 3.0)] * 5])
+def test_factors_without_a_unique_fit(spark, data):
+    df = spark.createDataFrame(data, "id STRING, y DOUBLE, a DOUBLE, b DOUBLE")
+    for order_by in ([], ["id"]):
+        fit = fit_ols(df, "y", ["a", "b"], order_by=order_by, solver="qr")
+        assert {r.coef for r in fit.coefficients.collect()} == {None}
+        assert fit.model.first().n == len(data)
+    assert fit_ols(df, "y", ["a"], by=["id"], order_by=["b"], solver="qr").coefficients.count() == 2 * len({r[0] for r in data})
+
+
+def test_factors_of_many_small_groups_and_one_large(spark, monkeypatch):
+    """Handing on early and merging in several rounds lose no row, step or seam."""
+    monkeypatch.setattr(factors_module, "FAN_IN", 2)
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"g": np.where(rng.random(3000) < 0.4, 0, rng.integers(1, 900, 3000)), "i": np.arange(3000)})
+    pdf["a"], pdf["b"] = rng.normal(size=3000), rng.normal(size=3000)
+    by_order = spark.createDataFrame(pdf).repartitionByRange(6, "g", "i").sortWithinPartitions("g", "i")
+    found = factors(by_order, ["a", "b"], ["g"], ordered=True).toPandas().set_index("g")
+    assert len(found) == pdf.g.nunique() and found.n.sum() == 3000
+    for group, part in pdf.sort_values("i").groupby("g"):
+        values = part[["a", "b"]].to_numpy()
+        for name, rows_ in (("rows", np.column_stack([np.ones(len(values)), values])), ("steps", np.diff(values, axis=0))):
+            if not len(rows_):
+                assert found.loc[group, name] is None
+                continue
+            r = np.reshape(found.loc[group, name], (rows_.shape[1], -1))
+            np.testing.assert_allclose(r.T @ r, rows_.T @ rows_, atol=1e-9)
+
+
+def test_a_task_hands_on_early_without_losing_steps(monkeypatch):
+    monkeypatch.setattr(factors_module, "HELD", 1)
+    monkeypatch.setattr(factors_module.TaskContext, "get", staticmethod(lambda: type("T", (), {"partitionId": lambda self: 3})()))
+    frame = pd.DataFrame({"g": [1, 1, 2, 3, 3, 3, 3, 4], "a": [1.0, 4, 2, 9, 7, 1, 2, 5]})
+    out = pd.concat(factors_module._task_factors(iter([frame[:5], frame[5:]]), ["g"], ["a"], True, True))
+    assert out["g"].tolist() == [1, 2, 3, 4] and out["n"].tolist() == [2, 1, 4, 1]
+    steps = {g: None if s is None else s[0] ** 2 for g, s in zip(out["g"], out["steps"])}
+    assert steps[3] == pytest.approx(4 + 36 + 1) and steps[2] is None
+    assert abs(triangle(np.array([[3.0], [4.0]]))[0, 0]) == pytest.approx(5)
