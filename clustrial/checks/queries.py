@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from clustrial.checks import tables as t
 from clustrial.functions import (
+    Window,
     classify_period,
     date_text,
     org_id,
@@ -27,6 +28,7 @@ from clustrial.operators.measures import (
     combine_measures,
     extend_month_table,
     in_code_list,
+    practice_month_facts,
     prefix_measures,
     region_month_measures,
 )
@@ -41,8 +43,10 @@ from clustrial.sources import (
     TableStore,
     append_all,
     flatten_report,
+    open_report,
     read_csv,
     sampling_notice,
+    save_bucketed,
     shared_folder,
     store,
     unread_pages,
@@ -114,6 +118,25 @@ def measure_all_single_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(Trial(spark, sf_dir).all_measures(), cost=4)
 
 
+BUCKETS = 16
+
+
+def catalog_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Facts, list sizes and practices as catalog tables in buckets by practice."""
+    study, mark = Trial(spark, sf_dir), uuid.uuid4().hex
+    sizes = study.statistics.groupBy("practice", "month").agg(F.sum("total_list_size").alias("total_list_size"))
+    return (
+        save_bucketed(practice_month_facts(study.prescribing), f"facts_{mark}", ["practice"], BUCKETS),
+        save_bucketed(sizes, f"sizes_{mark}", ["practice"], BUCKETS),
+        save_bucketed(study.practices, f"practices_{mark}", ["code"], BUCKETS),
+    )
+
+
+def measure_from_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All measures from bucketed catalog tables: facts and practices meet without a shuffle."""
+    return rounded(region_month_measures(*catalog_tables(spark, sf_dir), t.MEASURES, t.FIRST, t.LAST), cost=4)
+
+
 def measure_code_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = t.table(spark, sf_dir, "part", "p_partkey", "p_brand").where(
         F.col("p_brand") == t.CODE_LIST_BRAND
@@ -490,6 +513,28 @@ def ols_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fit.coefficients.select("l_returnflag", "term", "coef", "std_err", "t"), 3)
 
 
+def ols_order_lines_qr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regression of ``ols_order_lines`` from triangular factors, to six places."""
+    lines = t.table(
+        spark, sf_dir, "lineitem", "l_returnflag", "l_extendedprice", "l_quantity", "l_discount", "l_tax"
+    )
+    x = ["l_quantity", "l_discount", "l_tax"]
+    fit = fit_ols(lines, "l_extendedprice", x, by=["l_returnflag"], solver="qr")
+    return rounded(fit.coefficients.select("l_returnflag", "term", "coef", "std_err", "t"), 6)
+
+
+def ols_nearly_collinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two predictors that differ by a part in a million, which covariances cannot tell apart."""
+    lines = t.table(spark, sf_dir, "lineitem", "l_returnflag", "l_partkey", "l_quantity", "l_extendedprice").selectExpr(
+        "l_returnflag",
+        "l_extendedprice / 1000 AS price",
+        "l_partkey * 65536D AS part_far",
+        "l_partkey * 65536D + l_quantity AS part_near",
+    )
+    fit = fit_ols(lines, "price", ["part_far", "part_near"], by=["l_returnflag"], solver="qr")
+    return rounded(fit.coefficients.select("l_returnflag", "term", "coef", "std_err"))
+
+
 def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Trial(spark, sf_dir).flagged
 
@@ -657,6 +702,21 @@ def event_window_alerts_by_length(spark: SparkSession, sf_dir: str) -> DataFrame
     return rounded(study.alerts(study.sign_ups, t.SIGNUP_WINDOW))
 
 
+WIDE_WINDOW = Window(before=(-30, -1), after=(0, 30))
+
+
+def alerts_in_two_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct users in two windows, both from one stored table of bitmaps."""
+    study = Trial(spark, sf_dir)
+    bitmaps = store(engagement.alert_bitmaps(study.sign_ups, study.trial_practices, practice_length=None), "alert-bitmaps")
+    return rounded(
+        append_all(
+            engagement.cluster_alerts_in(bitmaps, study.members, study.units, window).withColumn("wide", F.lit(wide))
+            for wide, window in ((False, t.SIGNUP_WINDOW), (True, WIDE_WINDOW))
+        )
+    )
+
+
 def page_view_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = Trial(spark, sf_dir).page_view_grid
     parts = [
@@ -844,6 +904,27 @@ def report_flatten_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _faulty_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reports with faults in some pages: cut texts, words for numbers, dates and dimensions too many."""
+    report = """CASE k WHEN '95' THEN left(report, 40)
+                       WHEN '96' THEN replace(report, '["1","', '["one","')
+                       WHEN '97' THEN regexp_replace(report, '"dimensions":\\\\["[0-9]{8}",', '"dimensions":["20189999",')
+                       WHEN '98' THEN replace(report, '"click"]', '"click","twice"]') ELSE report END"""
+    return reports(spark, sf_dir, ranges=3).withColumn("report", F.expr(report))
+
+
+def report_by_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns and their types as the reports' own headers and values have them."""
+    names = [f"{name}_{i}" for i in range(3) for name in ("hits", "amount")]
+    return open_report(_faulty_reports(spark, sf_dir)).rows.toDF("day", "event_type", *names)
+
+
+def report_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return open_report(_faulty_reports(spark, sf_dir)).rejected.groupBy("day", "k", "reason").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
 def report_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling_notice(reports(spark, sf_dir))
 
@@ -858,6 +939,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         measure_region_month,
         measure_all_single_scan,
         measure_code_list,
+        measure_from_catalog,
         measures_combined,
         measure_prefix_rules,
         measure_incremental,
@@ -895,6 +977,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         ols_lines_by_e,
         describe_with_nan,
         ols_order_lines,
+        ols_order_lines_qr,
+        ols_nearly_collinear,
         sensitivity_flag,
         sensitivity_flag_items,
         ols_sensitivity_cost,
@@ -919,6 +1003,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         alert_summary,
         alert_summary_sizes,
         event_window_alerts_by_length,
+        alerts_in_two_windows,
         ols_views_ccg,
         ols_views_practice,
         ols_size_adjusted_ccg,
@@ -928,6 +1013,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         report_flatten,
         report_flatten_ranges,
         report_flatten_mixed,
+        report_by_header,
+        report_rejected,
         report_sampling,
         report_pages,
     )

@@ -17,6 +17,7 @@ from clustrial.functions import (
     org_type,
     sum_or_zero,
 )
+from clustrial.operators.bitmaps import distinct_members, member_bitmaps
 from clustrial.operators.clusters import roll_up
 from clustrial.operators.positions import add_rank
 from clustrial.operators.reshape import pivot_dense
@@ -25,6 +26,11 @@ from clustrial.operators.summary import arm_summary
 from clustrial.sources.tables import store
 
 ORG_TYPES = ["ccg", "practice"]  # Fixed values: the kinds of organisation page.
+ALERT_CELLS = {
+    f"alerts_{kind}_{when}": f"org_type = '{kind}' AND timing = '{when}'"
+    for kind in ORG_TYPES
+    for when in ("after", "before")
+}
 REGION_ID_LENGTH = 3  # Fixed value: region ids have three characters.
 
 
@@ -144,16 +150,7 @@ def cluster_alerts(
     ``alerts`` has ``created_at, approved, pct, practice, user``. Region alerts carry
     no practice and match none. Clusters without alerts keep a row of zeros.
     """
-    by_code = practices.select(F.col("code").alias("practice"), "ccg_id")
-    approved = (
-        alerts.where(F.col("approved") == "t")
-        .withColumn("created", F.to_date("created_at"))
-        .groupBy("practice", "pct", "user", "created")
-        .agg(F.lit(1).alias("seen"))
-        .join(by_code, "practice", "left")
-        .withColumn("pct_id", F.coalesce("ccg_id", "pct"))
-        .withColumn("org_type", alert_org_type("pct", "practice", practice_length=practice_length))
-    )
+    approved = _approved_alerts(alerts, practices, practice_length)
     trial = members.select("joint_id", "pct_id").join(
         units.select("joint_id", "date_int"), "joint_id"
     )
@@ -164,20 +161,56 @@ def cluster_alerts(
         .groupBy("joint_id", "org_type", "timing", "user")
         .agg(F.lit(1).alias("seen"))
     )
-    cells = {
-        f"alerts_{kind}_{when}": f"org_type = '{kind}' AND timing = '{when}'"
-        for kind in ORG_TYPES
-        for when in ("after", "before")
-    }
     counts = users.groupBy("joint_id").agg(
-        *[F.expr(f"count_if({test}) AS {name}") for name, test in cells.items()]
+        *[F.expr(f"count_if({test}) AS {name}") for name, test in ALERT_CELLS.items()]
     )
+    return _every_cluster(units, counts)
+
+
+def _approved_alerts(alerts: DataFrame, practices: DataFrame, practice_length: int | None) -> DataFrame:
+    """Users with approved alerts by day, region and kind of organisation."""
+    by_code = practices.select(F.col("code").alias("practice"), "ccg_id")
+    return (
+        alerts.where(F.col("approved") == "t")
+        .withColumn("created", F.to_date("created_at"))
+        .groupBy("practice", "pct", "user", "created")
+        .agg(F.lit(1).alias("seen"))
+        .join(by_code, "practice", "left")
+        .withColumn("pct_id", F.coalesce("ccg_id", "pct"))
+        .withColumn("org_type", alert_org_type("pct", "practice", practice_length=practice_length))
+    )
+
+
+def alert_bitmaps(alerts: DataFrame, practices: DataFrame, practice_length: int | None = 6) -> DataFrame:
+    """Users with approved alerts as bitmaps by region, kind of organisation and day.
+
+    Stored once, they give ``cluster_alerts_in`` for any window and any clusters.
+    """
+    return member_bitmaps(
+        _approved_alerts(alerts, practices, practice_length), "user", ["pct_id", "org_type", "created"]
+    )
+
+
+def cluster_alerts_in(
+    bitmaps: DataFrame, members: DataFrame, units: DataFrame, window: Window = ALERT_WINDOW
+) -> DataFrame:
+    """As ``cluster_alerts``, from the bitmaps of ``alert_bitmaps``."""
+    trial = members.select("joint_id", "pct_id").join(units.select("joint_id", "date_int"), "joint_id")
+    timed = bitmaps.join(trial, "pct_id").withColumn("timing", event_window("datediff(created, date_int)", window))
+    found = distinct_members(timed, ["joint_id", "org_type", "timing"], "users")
+    counts = found.groupBy("joint_id").agg(
+        *[F.expr(f"coalesce(sum(users) FILTER (WHERE {test}), 0) AS {name}") for name, test in ALERT_CELLS.items()]
+    )
+    return _every_cluster(units, counts)
+
+
+def _every_cluster(units: DataFrame, counts: DataFrame) -> DataFrame:
     clusters = units.select("intervention", "joint_id", "list_size").distinct()
     return clusters.join(counts, "joint_id", "left").selectExpr(
         "intervention",
         "joint_id",
         "CAST(list_size AS DOUBLE) / 100000 AS list_size_100k",
-        *[f"coalesce({name}, 0) AS {name}" for name in cells],
+        *[f"coalesce({name}, 0) AS {name}" for name in ALERT_CELLS],
     )
 
 

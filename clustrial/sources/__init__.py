@@ -1,12 +1,13 @@
 """Readers, writers and stored intermediate tables."""
 
-from clustrial.sources.reports import flatten_report, sampling_notice, unread_pages
+from clustrial.sources.reports import flatten_report, open_report, sampling_notice, unread_pages
 from clustrial.sources.schemas import SCHEMAS
 from clustrial.sources.tables import (
     TableStore,
     append_all,
     read_csv,
     read_table,
+    save_bucketed,
     shared_folder,
     sized,
     store,
@@ -21,9 +22,11 @@ __all__ = [
     "TableStore",
     "append_all",
     "flatten_report",
+    "open_report",
     "read_csv",
     "read_table",
     "sampling_notice",
+    "save_bucketed",
     "shared_folder",
     "sized",
     "store",

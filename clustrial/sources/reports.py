@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clustrial.functions import quoted
 from clustrial.functions.periods import parse_compact_date
 
 # The report format.
@@ -96,6 +98,95 @@ def flatten_report(
     return flat.toDF(*names) if names else flat
 
 
+@dataclass(frozen=True)
+class OpenReport:
+    """The rows of a report under its own headers, and those that do not fit them."""
+
+    rows: DataFrame
+    rejected: DataFrame
+
+
+def open_report(reports: DataFrame, json: str = "report", max_columns: int = 2_000) -> OpenReport:
+    """Flatten reports by the headers they bring; no column has to be named.
+
+    Columns are all dimensions, then all metrics for each date range, in the order in which
+    headers name them; a report without one of them has null there. ``ga:date*`` become
+    dates. A metric is ``bigint`` if all its values in all date ranges are whole, else
+    ``double``; empty text is null. With several date ranges metric columns are called
+    ``<metric>_range_<i>``. A metric called like a dimension gets a ``_``.
+
+    A row is rejected if it has more or fewer dimensions or values than its header, no date
+    range, a value that is no number or a date that is none; a whole text if it is not such
+    a report. ``rejected`` has the other columns of ``reports``, ``reason``, and ``row``,
+    the row or text as it came. Missing texts and reports without rows give nothing, and
+    repeated rows stay.
+
+    Headers and kinds of values are found by one aggregate over the rows, of which one line
+    for each column passes through the driver; more than ``max_columns`` is an error.
+    """
+    carried = [c for c in reports.columns if c != json]
+    parsed = reports.where(F.col(quoted(json)).isNotNull()).select(
+        F.struct(*[F.col(quoted(c)) for c in carried]).alias("carried"), F.col(quoted(json)).alias("text"),
+        F.from_json(F.col(quoted(json)), REPORT_SCHEMA).alias("r"),
+    ).select(
+        "carried", "text", F.col("r.data.rows").alias("rows"),
+        F.col("r.columnHeader.dimensions").alias("dims"),
+        F.col("r.columnHeader.metricHeader.metricHeaderEntries.name").alias("mets"),
+    )
+    headed = "dims IS NOT NULL AND mets IS NOT NULL AND NOT exists(dims, d -> d IS NULL) AND NOT exists(mets, m -> m IS NULL)"
+    judged = parsed.where(headed).select(
+        "carried", "dims", "mets", F.explode("rows").alias("row")
+    ).withColumn("reason", F.expr(_MISFIT))
+    good = judged.where("reason IS NULL")
+
+    cells = good.selectExpr(
+        "inline(concat(transform(dims, (d, i) -> named_struct('met', false, 'name', d, 'place', i, 'size', 0, 'broken', false)), "
+        "transform(mets, (m, i) -> named_struct('met', true, 'name', m, 'place', i, 'size', size(row.metrics), "
+        "'broken', exists(row.metrics, x -> length(get(x.values, i)) > 0 AND (contains(get(x.values, i), '.') OR try_cast(get(x.values, i) AS BIGINT) IS NULL))))))"
+    )
+    headers = (
+        cells.groupBy("met", "name").agg(F.min("place").alias("place"), F.max("size").alias("ranges"), F.max("broken").alias("broken"))
+        .orderBy("met", "place", "name").limit(max_columns + 1).collect()
+    )
+    if len(headers) > max_columns:
+        raise ValueError(f"reports have more than {max_columns} columns")
+    ranges = max([h["ranges"] for h in headers], default=0)
+
+    def value_of(header: str, values: Column, name: str) -> Column:
+        position = F.array_position(F.col(header), name).cast("int")
+        return F.when(position > 0, F.try_element_at(values, position))
+
+    columns = []
+    for h in headers:
+        if not h["met"]:
+            column = value_of("dims", F.col("row.dimensions"), h["name"])
+            column = parse_compact_date(column) if h["name"].startswith("ga:date") else column
+            columns.append(column.alias(h["name"]))
+    taken = {h["name"] for h in headers if not h["met"]}
+    for i in range(ranges):
+        values = F.try_element_at(F.col("row.metrics"), F.lit(i + 1)).getField("values")
+        for h in headers:
+            if h["met"]:
+                label = f"{h['name']}_range_{i}" if ranges > 1 else h["name"]
+                label += "_" * (label in taken)
+                columns.append(parse_number(value_of("mets", values, h["name"]), "double" if h["broken"] else "bigint").alias(label))
+    kept = [F.col("carried").getField(c).alias(c) for c in carried]
+    rejected = judged.where("reason IS NOT NULL").select(*kept, "reason", F.to_json("row").alias("row"))
+    unread = parsed.where(f"NOT coalesce({headed}, false)").select(*kept, F.lit("not a report").alias("reason"), F.col("text").alias("row"))
+    return OpenReport(good.select(*columns), rejected.union(unread))
+
+
+# Why a row does not fit its header, or null.
+_MISFIT = """
+    CASE WHEN coalesce(size(row.dimensions), -1) <> size(dims) THEN 'dimensions'
+         WHEN coalesce(size(row.metrics), 0) <= 0
+           OR exists(row.metrics, m -> coalesce(size(m.values), -1) <> size(mets)) THEN 'metrics'
+         WHEN exists(row.metrics, m -> exists(m.values, v -> length(v) > 0 AND try_cast(v AS DOUBLE) IS NULL)) THEN 'number'
+         WHEN exists(zip_with(dims, row.dimensions, (d, v) -> startswith(d, 'ga:date') AND length(v) > 0
+                AND try_to_date(v, 'yyyyMMdd') IS NULL), x -> x) THEN 'date'
+    END"""
+
+
 def sampling_notice(reports: DataFrame, json: str = "report") -> DataFrame:
     """Per sampled report page, the share of rows read as a whole percent."""
     r = reports.withColumn("r", _report(json)).where(F.size("r.data.samplesReadCounts") > 0)

@@ -21,6 +21,7 @@ CHECKED = [
     "ols_order_lines", "sensitivity_flag", "describe_percentiles", "histogram_bins",
     "winsorise_upper", "parse_dates", "event_org_parse", "event_window_views_keep_empty",
     "ols_size_adjusted_practice", "csv_roundtrip", "report_flatten_ranges", "report_pages",
+    "ols_nearly_collinear", "report_by_header", "report_rejected", "alerts_in_two_windows", "measure_from_catalog",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
@@ -76,6 +77,17 @@ def test_all_measures_scan_the_fact_once_and_prune_columns(spark):
     assert all("GreaterThanOrEqual(o_orderdate" in line for line in orders)
 
 
+def test_catalog_facts_meet_practices_without_a_shuffle(spark):
+    facts, _, practices = queries_module.catalog_tables(spark, SF_DIR)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = facts.groupBy("practice", "month", "measure").agg({"items": "sum"})
+        plan = _plan(joined.join(practices, joined["practice"] == practices["code"]))
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_no_cross_joins_without_broadcasts(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:

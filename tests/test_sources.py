@@ -11,9 +11,11 @@ from clustrial.sources import (
     SCHEMAS,
     append_all,
     flatten_report,
+    open_report,
     read_csv,
     read_table,
     sampling_notice,
+    save_bucketed,
     shared_folder,
     store,
     store_in_slices,
@@ -166,3 +168,56 @@ def test_values_and_ranges_that_do_not_fit_are_errors(spark):
     ):
         with pytest.raises(Exception, match="not a bigint|more than 1 date ranges"):
             flatten_report(df, DIMENSIONS, metrics, ranges=ranges).collect()
+
+
+def _text_report(dimensions, metrics, rows_):
+    return json.dumps({
+        "columnHeader": {"dimensions": dimensions, "metricHeader": {"metricHeaderEntries": [{"name": m} for m in metrics]}},
+        "data": {"rows": [{"dimensions": d, "metrics": [{"values": v} for v in values]} for d, values in rows_]},
+    })
+
+
+def test_headers_give_the_columns_and_misfits_are_set_apart(spark):
+    one = _text_report(["ga:date", "page"], ["hits", "page"], [
+        (["20181105", "/a"], [["3", "1.5"]]), (["20181105", "/a"], [["3", "1.5"]]), (["20181106", "/b"], [["", "2"]]),
+        (["20181106"], [["1", "2"]]), (["20181106", "/c"], [["1"]]), (["20181106", "/d"], [["x", "2"]]),
+        (["20181199", "/e"], [["1", "2"]]), (["20181106", "/f"], []),
+    ])
+    two = _text_report(["page", "ga:date"], ["new"], [(["/g", "20181107"], [["99999999999999999999"]])])
+    texts = [("k1", one), ("k2", two), ("k3", "{cut"), ("k4", None), ("k5", _text_report([], [], [])), ("k6", "{}")]
+    found = open_report(spark.createDataFrame(texts, "reason STRING, report STRING").withColumnRenamed("reason", "key"))
+    assert found.rows.dtypes == [("ga:date", "date"), ("page", "string"), ("hits", "bigint"), ("new", "double"), ("page_", "double")]
+    first = (date(2018, 11, 5), "/a", 3, None, 1.5)
+    assert rows(found.rows) == [first, first, (date(2018, 11, 6), "/b", None, None, 2.0), (date(2018, 11, 7), "/g", None, 1e20, None)]
+    assert [(r.key, r.reason) for r in found.rejected.orderBy("key", "reason").collect()] == [
+        ("k1", "date"), ("k1", "dimensions"), ("k1", "metrics"), ("k1", "metrics"), ("k1", "number"),
+        ("k3", "not a report"), ("k6", "not a report"),
+    ]
+    assert found.rejected.where("key = 'k3'").first().row == "{cut"
+
+
+def test_headers_of_several_ranges_and_of_nothing(spark):
+    report = _text_report(["d"], ["m"], [(["a"], [["1"], ["2"]]), (["b"], [["3"]])])
+    found = open_report(spark.createDataFrame([(report,)], "report STRING"))
+    assert found.rows.columns == ["d", "m_range_0", "m_range_1"]
+    assert rows(found.rows) == [("a", 1, 2), ("b", 3, None)]
+    empty = open_report(spark.createDataFrame([], "report STRING, extra INT"))
+    assert empty.rows.count() == 0 and empty.rejected.columns == ["extra", "reason", "row"] and empty.rejected.count() == 0
+    with pytest.raises(ValueError, match="more than 1 columns"):
+        open_report(spark.createDataFrame([(report,)], "report STRING"), max_columns=1)
+
+
+def test_bucketed_tables_meet_without_a_shuffle(spark, checkpoint_dir):
+    left = spark.range(500).selectExpr("id % 50 AS k", "id AS v")
+    right = spark.range(60).selectExpr("id AS k", "id * 2 AS w")
+    a, b = save_bucketed(left, "bucketed_a", ["k"], 4), save_bucketed(right, "bucketed_b", ["k"], 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = a.groupBy("k", "v").count().join(b, "k")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 500 and b.count() == 60
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert save_bucketed(left.limit(0), "bucketed_a", ["k"], 4).count() == 0
+    for name in ("bucketed_a", "bucketed_b"):
+        spark.sql(f"DROP TABLE {name}")
