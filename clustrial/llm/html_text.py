@@ -11,14 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clustrial.llm.page_styles import StyleSheet, for_screen
+
 _TAG = re.compile(
     r"<!--(?:.*?--!?>|>|->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>"
     r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
     re.S,
 )
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
-_UNSEEN = re.compile(r"display\s*:\s*none|content-visibility\s*:\s*hidden", re.I)
-_VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*([a-z]+)", re.I)
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
@@ -64,25 +64,24 @@ _CLOSES_P = {t for t, space in SPACE.items() if t not in {"option", "optgroup",
 class Node:
     """An element: its tag, what its start tag says of its looks, and its children."""
 
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "css")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs = tag, attrs
         self.children: list[Node | str] = []
+        self.css: list[str] = []  # of the root: the page's style sheets
 
-    def unseen(self) -> bool:
-        a = self.attrs
-        return (
-            self.tag in HIDDEN
-            or "hidden" in a
-            or bool(_UNSEEN.search(a.get("style", "")))
-            or (self.tag == "dialog" and "open" not in a)
-        )
+    def unseen(self, said: dict[str, str]) -> bool:
+        """Whether neither the element nor anything in it is laid out; ``said`` is what styles set."""
+        if self.tag in HIDDEN or said.get("content-visibility") == "hidden":
+            return True
+        if "display" in said:  # stronger than what the browser has for these
+            return said["display"] == "none"
+        return "hidden" in self.attrs or (self.tag == "dialog" and "open" not in self.attrs)
 
-    def shown(self, inherited: bool, kind: str) -> bool:
+    def shown(self, inherited: bool, kind: str, said: dict[str, str]) -> bool:
         """Visibility, which passes to children and which they may take back."""
-        said = _VISIBILITY.findall(self.attrs.get("style", "")) or ([self.attrs.get("visibility", "")] if kind != "html" else [])
-        word = said[-1].lower() if said else ""
+        word = said.get("visibility") or (self.attrs.get("visibility", "").lower() if kind != "html" else "")
         return word in {"visible", "initial"} or (inherited and word not in {"hidden", "collapse"})
 
     def kind_inside(self, kind: str) -> str:
@@ -103,6 +102,7 @@ def parse(html: str) -> Node:
     """The tree of a page; end tags that are left out are implied, stray ones ignored."""
     root = Node("html", {})
     stack = [root]
+    sheets: list[str] = []
     opened: Counter[str] = Counter()  # tags on the stack
 
     def push(node: Node) -> None:
@@ -177,10 +177,14 @@ def parse(html: str) -> Node:
             inner = html[at : end.start() if end else n]
             node.children.append(unescape(inner) if tag in {"textarea", "title"} else inner)
             at = end.end() if end else n
+            # A page that runs scripts does not read the sheets of noscript.
+            if tag == "style" and not (opened["noscript"] or opened["template"]) and for_screen(attrs.get("media")):
+                sheets.append(inner)
         elif tag in VOID or (tag not in SPACE and m[3].endswith("/")):
             stack[-1].children.append(node)
         else:
             push(node)
+    root.css = sheets
     return root
 
 
@@ -263,6 +267,7 @@ def _aligned(rows: list[list[list[str]]]) -> list[str]:
 
 def render(root: Node) -> str:
     """All visible text of a tree, walked without recursion however deep it is."""
+    styles = StyleSheet(root.css)
     writers = [Writer()]
     tables: list[list[list[list[str]]]] = []
     spans: list[dict[int, float]] = []  # for each table, the last row that a cell of a column reaches
@@ -296,14 +301,17 @@ def render(root: Node) -> str:
             if node is _GAP:
                 w.blank = True
                 continue
-            if tag == "img" or tag in {"input", "wbr"} or node.unseen():
+            if tag == "img" or tag in {"input", "wbr"}:
+                continue
+            said = styles.says(tag, node.attrs)
+            if node.unseen(said):
                 continue
             inherited, kind = looks[-1]
             if tag in FOREIGN_HIDDEN.get("svg" if kind == "label" else kind, ()):
                 continue
-            if kind in {"svg", "label"} and node.attrs.get("display", "").strip().lower() == "none":
+            if kind in {"svg", "label"} and node.attrs.get("display", "").strip().lower() == "none" and "display" not in said:
                 continue
-            shown = node.shown(inherited, kind)
+            shown = node.shown(inherited, kind, said)
             if tag in _CELLS and tables:
                 if not tables[-1]:
                     tables[-1].append([])
@@ -398,7 +406,10 @@ def extract(df: DataFrame, id_column: str = "page_id", html_column: str = "html"
     Blocks stand on lines of their own and paragraphs apart, list items have their marker
     and indent, and the cells of a table are aligned in columns, below cells that span rows
     too. Formulas give their text, graphics that of their labels. Hidden elements, scripts,
-    styles and the head give nothing; what is made visible inside ``visibility: hidden`` is
+    styles and the head give nothing. The page's own style sheets count for ``display`` and
+    ``visibility`` where a selector is one element's tag, classes and id; sheets in other
+    files, selectors over several elements, and rules for print or for a window's size do
+    not. What is made visible inside ``visibility: hidden`` is
     shown. Text that a graphic repeats by ``use`` is not. Missing pages stay missing, empty ones empty. Pages
     are worked on one by one, without a shuffle.
     """

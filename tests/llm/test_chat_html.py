@@ -83,6 +83,32 @@ def test_all_that_a_browser_shows(html, text):
     assert html_text.render(html_text.parse(html)) == text
 
 
+STYLED = [
+    ("<style>.no{display:none} #x{visibility:hidden}</style><p class='a no'>n<p id=x>n<b style='visibility:visible'>y</b><p class=nope>z", "y\n\nz"),
+    ("<head><style>/* .z{display:none} */ i, em { color: red; DISPLAY : None !important }</style></head><i>n</i><em style='display:block'>n</em><p class=z>z", "z"),
+    ("<style>.a{display:none}</style><p class=a style='display:block'>y<p class=a>n", "y"),
+    ("<style>p{display:none} p.k{display:block} .k#j{display:none}</style><p>n<p class=k>y<p class=k id=j>n", "y"),
+    ("<style>.k{display:none} .k{display:block}</style><p class=k>y", "y"),
+    ("<style>@media print{p{display:none} .q{display:none}} @media screen { .s { display: none } }</style><p class=q>y<p class=s>n", "y"),
+    ("<style media=print>p{display:none}</style><noscript><style>p{display:none}</style></noscript><p>y", "y"),
+    ("<style>.m li, a:hover, [x], p > b { display: none } .c::after{content:'} p{display:none}'}</style><p><b>y</b><a>z</a>", "yz"),
+    ("<style>[hidden]{} .v{display:block} dialog{display:revert}</style><div hidden class=v>y</div><dialog>n</dialog><div hidden>n</div>", "y"),
+    ("<style>@import 'x.css'; .a{display:nonsense-9} .a{visibility:odd}</style><p class=a>y", "y"),
+    ("<style>.a{display:none</style><p class=a>n</p><style>@media print{</style>z", "z"),
+    ("<style>script{display:block}</style><script>n</script>z", "z"),
+]
+
+
+@pytest.mark.parametrize(("html", "text"), STYLED)
+def test_the_page_s_own_styles_count(html, text):
+    assert html_text.render(html_text.parse(html)) == text
+
+
+def test_many_rules_and_many_elements_end():
+    rules = "".join(f".a.b{i}{{display:none}}" for i in range(20_000)) + "{" * 20_000 + "@x{" * 20_000
+    html_text.render(html_text.parse(f"<style>{rules}</style>" + "".join(f"<p class='a c{i}'>x" for i in range(20_000))))
+
+
 def test_deep_and_broken_pages_end():
     for html in ("<div>" * 30_000 + "x", "<" * 30_000, '<a "' * 5_000, "<b><p>" * 3_000 + "x", "<table><tr><td>" * 800 + "x"):
         html_text.render(html_text.parse(html))
