@@ -19,6 +19,8 @@ _INSIDE_RUN = re.compile(r"\s (?:\s|\Z)")
 # Latin letters, then ASCII punctuation: two pre-tokens, whatever follows.
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)")
 
+_MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())  # ASCII punctuation
+
 
 def default_tokenizer() -> str:
     """Name of the tokenizer file in the public collection; its place differs by machine."""
@@ -56,6 +58,7 @@ class TextEncoder(dict):
         self.max_chunks = max_chunks
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.letters = _byte_letters()
+        self.space = self.letters[ord(" ")]
         self.model = self.tokenizer.model
         self.line_end = self.whole("\n")
         self.words: dict[str, bytes] = {}  # letters after a space
@@ -66,7 +69,10 @@ class TextEncoder(dict):
 
     def _letters(self, piece: str) -> bytes:
         """The ids of a pre-token: letters, with the space before them if any, or punctuation."""
-        written = piece.encode().decode("latin-1").translate(self.letters)
+        if piece.isascii():  # visible letters stand for themselves
+            written = self.space + piece[1:] if piece[0] == " " else piece
+        else:
+            written = piece.encode().decode("latin-1").translate(self.letters)
         return array(self.code, [t.id for t in self.model.tokenize(written)]).tobytes()
 
     def _remembered(self, memory: dict[str, bytes], piece: str, space: str) -> bytes:
@@ -95,7 +101,13 @@ class TextEncoder(dict):
         return self.whole(space + text)
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.chunk(chunk, " ")
+        word = chunk.rstrip(_MARKS)
+        ids = self.words.get(word)  # it holds letters only
+        if ids is None:
+            ids = self.chunk(chunk, " ")
+        elif len(word) < len(chunk):
+            tail = chunk[len(word) :]
+            ids += self.tails.get(tail) or self._remembered(self.tails, tail, "")
         if len(chunk) <= LONG_CHUNK:
             if len(self) >= self.max_chunks:
                 self.clear()
