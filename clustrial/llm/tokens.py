@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,9 +15,8 @@ LONG_CHUNK = 200
 # A space that is neither first in a white-space run nor followed by something visible
 # is the only one that is not the start of a token.
 _INSIDE_RUN = re.compile(r"\s (?:\s|\Z)")
-# Latin letters, then ASCII punctuation: two pre-tokens, whatever follows.
-_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)")
-
+# Latin letters, then ASCII punctuation, are two pre-tokens, whatever follows.
+_LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 _MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())  # ASCII punctuation
 
 
@@ -56,12 +54,14 @@ class TextEncoder(dict):
         self.added = [t.content for t in added]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.max_chunks = max_chunks
-        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        size = self.tokenizer.get_vocab_size()
+        self.id_bytes = [i.to_bytes(self.dtype.itemsize, "little") for i in range(size)]
         self.letters = _byte_letters()
         self.space = self.letters[ord(" ")]
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.line_end = self.whole("\n")
         self.words: dict[str, bytes] = {}  # letters after a space
+        self.starts: dict[str, bytes] = {}  # letters at the start of a line
         self.tails: dict[str, bytes] = {}  # punctuation
 
     def whole(self, text: str) -> bytes:
@@ -73,7 +73,7 @@ class TextEncoder(dict):
             written = self.space + piece[1:] if piece[0] == " " else piece
         else:
             written = piece.encode().decode("latin-1").translate(self.letters)
-        return array(self.code, [t.id for t in self.model.tokenize(written)]).tobytes()
+        return b"".join([self.id_bytes[t.id] for t in self.tokenize(written)])
 
     def _remembered(self, memory: dict[str, bytes], piece: str, space: str) -> bytes:
         ids = memory.get(piece)
@@ -85,29 +85,40 @@ class TextEncoder(dict):
                 memory[piece] = ids
         return ids
 
-    def chunk(self, text: str, space: str) -> bytes:
-        """The ids of a text without space inside, after ``space`` or nothing.
+    def _word(self, text: str, memory: dict[str, bytes], space: str) -> bytes | None:
+        """The ids of letters and the punctuation behind them; None for anything else."""
+        word = text.rstrip(_MARKS)
+        ids = memory.get(word)
+        if ids is None:
+            if not _LETTERS.fullmatch(word):
+                return None
+            ids = self._remembered(memory, word, space)
+        if len(word) < len(text):
+            tail = text[len(word) :]
+            ids += self.tails.get(tail) or self._remembered(self.tails, tail, "")
+        return ids
 
-        A line end between words is a token of its own, and the next word starts afresh.
+    def _lines(self, text: str, space: str) -> bytes:
+        """The ids of words with line ends between them.
+
+        Such a line end is a token of its own, and the next word starts afresh.
         """
-        plain = _PLAIN.fullmatch(text)
-        if plain:
-            word, tail = plain.groups()
-            ids = self._remembered(self.words, word, space) if space else self._letters(word)
-            return ids + self._remembered(self.tails, tail, "") if tail else ids
-        lines = text.split("\n")
-        if len(lines) > 1 and all(map(_PLAIN.fullmatch, lines)):
-            return self.line_end.join(self.chunk(x, "" if k else space) for k, x in enumerate(lines))
-        return self.whole(space + text)
+        first, *others = text.split("\n")
+        found = [self._word(first, self.words if space else self.starts, space)]
+        found += [self._word(line, self.starts, "") for line in others]
+        return self.whole(space + text) if None in found else self.line_end.join(found)
+
+    def chunk(self, text: str, space: str) -> bytes:
+        """The ids of a text without space inside, after ``space`` or nothing."""
+        if "\n" in text:
+            return self._lines(text, space)
+        ids = self._word(text, self.words if space else self.starts, space)
+        return self.whole(space + text) if ids is None else ids
 
     def __missing__(self, chunk: str) -> bytes:
-        word = chunk.rstrip(_MARKS)
-        ids = self.words.get(word)  # it holds letters only
-        if ids is None:
-            ids = self.chunk(chunk, " ")
-        elif len(word) < len(chunk):
-            tail = chunk[len(word) :]
-            ids += self.tails.get(tail) or self._remembered(self.tails, tail, "")
+        if "\n" in chunk:  # seldom met again
+            return self._lines(chunk, " ")
+        ids = self.chunk(chunk, " ")
         if len(chunk) <= LONG_CHUNK:
             if len(self) >= self.max_chunks:
                 self.clear()
