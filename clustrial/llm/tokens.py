@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,11 +41,11 @@ class TextEncoder(dict):
     other spaces, or with an added token of the file such as ``<|endoftext|>``, which the
     library reads as that token, are encoded whole. A chunk of letters and punctuation goes straight to the
     library's BPE model, any other through its whole chain. As a dict it holds the ids of at
-    most ``max_chunks`` chunks, and those of as many words; then it is emptied, which changes
-    the speed only.
+    most ``max_chunks`` chunks that follow a space, words without their punctuation among
+    them; then it is emptied, which changes the speed only.
     """
 
-    def __init__(self, name: str, max_chunks: int = 450_000):
+    def __init__(self, name: str, max_chunks: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -54,13 +55,11 @@ class TextEncoder(dict):
         self.added = [t.content for t in added]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.max_chunks = max_chunks
-        size = self.tokenizer.get_vocab_size()
-        self.id_bytes = [i.to_bytes(self.dtype.itemsize, "little") for i in range(size)]
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.letters = _byte_letters()
         self.space = self.letters[ord(" ")]
         self.tokenize = self.tokenizer.model.tokenize
         self.line_end = self.whole("\n")
-        self.words: dict[str, bytes] = {}  # letters after a space
         self.starts: dict[str, bytes] = {}  # letters at the start of a line
         self.tails: dict[str, bytes] = {}  # punctuation
 
@@ -73,57 +72,45 @@ class TextEncoder(dict):
             written = self.space + piece[1:] if piece[0] == " " else piece
         else:
             written = piece.encode().decode("latin-1").translate(self.letters)
-        return b"".join([self.id_bytes[t.id] for t in self.tokenize(written)])
+        return array(self.code, [t.id for t in self.tokenize(written)]).tobytes()
 
-    def _remembered(self, memory: dict[str, bytes], piece: str, space: str) -> bytes:
-        ids = memory.get(piece)
-        if ids is None:
-            ids = self._letters(space + piece)
-            if len(piece) <= LONG_CHUNK:
-                if len(memory) >= self.max_chunks:
-                    memory.clear()
-                memory[piece] = ids
+    def _keep(self, memory: dict[str, bytes], piece: str, ids: bytes) -> bytes:
+        if len(piece) <= LONG_CHUNK:
+            if len(memory) >= self.max_chunks:
+                memory.clear()
+            memory[piece] = ids
         return ids
 
     def _word(self, text: str, memory: dict[str, bytes], space: str) -> bytes | None:
         """The ids of letters and the punctuation behind them; None for anything else."""
         word = text.rstrip(_MARKS)
+        if not _LETTERS.fullmatch(word):
+            return None
         ids = memory.get(word)
         if ids is None:
-            if not _LETTERS.fullmatch(word):
-                return None
-            ids = self._remembered(memory, word, space)
+            ids = self._keep(memory, word, self._letters(space + word))
         if len(word) < len(text):
             tail = text[len(word) :]
-            ids += self.tails.get(tail) or self._remembered(self.tails, tail, "")
+            ids += self.tails.get(tail) or self._keep(self.tails, tail, self._letters(tail))
         return ids
 
-    def _lines(self, text: str, space: str) -> bytes:
-        """The ids of words with line ends between them.
+    def chunk(self, text: str, space: str) -> bytes:
+        """The ids of a text without space inside, after ``space`` or nothing.
 
-        Such a line end is a token of its own, and the next word starts afresh.
+        A line end between words is a token of its own, and the next word starts afresh.
         """
         first, *others = text.split("\n")
-        found = [self._word(first, self.words if space else self.starts, space)]
+        found = [self._word(first, self if space else self.starts, space)]
         found += [self._word(line, self.starts, "") for line in others]
         return self.whole(space + text) if None in found else self.line_end.join(found)
 
-    def chunk(self, text: str, space: str) -> bytes:
-        """The ids of a text without space inside, after ``space`` or nothing."""
-        if "\n" in text:
-            return self._lines(text, space)
-        ids = self._word(text, self.words if space else self.starts, space)
-        return self.whole(space + text) if ids is None else ids
-
     def __missing__(self, chunk: str) -> bytes:
         if "\n" in chunk:  # seldom met again
-            return self._lines(chunk, " ")
-        ids = self.chunk(chunk, " ")
-        if len(chunk) <= LONG_CHUNK:
-            if len(self) >= self.max_chunks:
-                self.clear()
-            self[chunk] = ids
-        return ids
+            return self.chunk(chunk, " ")
+        ids = self._word(chunk, self, " ")
+        if ids is not None and chunk in self:
+            return ids
+        return self._keep(self, chunk, self.whole(" " + chunk) if ids is None else ids)
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a text; a missing text is empty."""
