@@ -6,10 +6,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from clustrial.llm import tokens
 from clustrial.llm.elias_fano import EliasFano
 from clustrial.llm.packing import best_fit_decreasing, cut_pieces, lower_bound, pack, pack_documents
 from clustrial.llm.token_files import read_token_files, write_token_files
@@ -49,6 +51,42 @@ def test_added_tokens_are_those_of_a_plain_library_call(work):
         assert work.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_texts_encoded_together_equal_the_library(work):
+    random.seed(5)
+    letters = ["It's", "é", " ", "  ", "\n", "\t", "12", ".", "'ll", "\0", "日", "\x85", "²", "[x]", "<|endoftext|>", "Ġ", "\u3000"]
+    made = ["".join(random.choices(letters, k=random.randint(0, 9))) for _ in range(4000)]
+    texts = [None, *SAMPLES, *made, "", None]
+    got = work.encode_all(pa.array(texts).slice(1))
+    assert [x.tolist() for x in got] == [ids(work, t) for t in texts[1:]]
+    assert work.encode_all(pa.array([], pa.string())) == []
+
+
+def test_every_kind_of_white_space_is_known_to_the_cuts(work):
+    spaces = [c for c in map(chr, range(0x110000)) if c.isspace()]
+    texts = [f"a{x} {y}b" for x in spaces for y in ["", *spaces]] + [f"a{x} " for x in spaces]
+    assert [x.tolist() for x in work.encode_all(pa.array(texts))] == [ids(work, t) for t in texts]
+
+
+def test_plain_chunks_go_to_the_model_once_for_each_pre_token():
+    work = TextEncoder(default_tokenizer())
+    seen, tokenize, chained, whole = [], work.tokenize, [], work.whole
+    work.tokenize = lambda text: seen.append(text) or tokenize(text)
+    work.whole = lambda text: chained.append(text) or whole(text)
+    texts = ["It's (a) test, a\ntest; no. 12: été", "a test (a) it's\na test, 12"] * 300
+    got = work.encode_all(pa.array(texts))
+    assert len(seen) == len(set(seen)) and max(map(len, seen)) <= 6
+    assert sorted(chained) == ["", "\n"]
+    assert [x.tolist() for x in got[:2]] == [ids(work, t) for t in texts[:2]]
+
+
+def test_batches_are_cut_into_slices_at_any_row(monkeypatch, work):
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 40)
+    texts = ["x" * 90, None, "", "a b", *["one two three"] * 20, "y " * 70, "end"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    got = list(tokens.encoded_rows(iter([batch, batch.slice(0, 0)]), default_tokenizer()))
+    assert [(k, x.tolist()) for k, x in got] == [(k, [*ids(work, t), END_ID]) for k, t in enumerate(texts)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**40)))
 def test_elias_fano_keeps_all_values(values):
