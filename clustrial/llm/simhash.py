@@ -72,6 +72,9 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     So each fingerprint is filed under both halves, looks up the ball of radius one round
     each of its halves, and every match is verified on all 64 bits. Of two halves that
     differ in one bit only the one with the bit clear looks for the other.
+
+    Spark takes the balls for as large as the fingerprints they are made from, of which each
+    has some 35 rows there; so the join is told to merge, else it could broadcast them.
     """
     half = F.expr("shiftrightunsigned(fp, part * 32) & 4294967295L")
     parts = distinct.select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("part"))
@@ -87,7 +90,7 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
         (F.col("bit") != 32) | (F.col("a") < F.col("b"))
     )
     return filed.alias("f").join(
-        probes.alias("p"),
+        probes.hint("merge").alias("p"),
         (F.col("f.part") == F.col("p.part")) & (F.col("f.half") == F.col("p.half")) & near,
     ).select("a", "b")
 

@@ -11,6 +11,7 @@ from xxhash import xxh64_intdigest
 
 from clustrial.llm import pii, quality_rules, simhash, winnowing
 from clustrial.llm.components import components
+from clustrial.sources.tables import store
 from tests.llm.helpers import AWKWARD, documents
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -152,6 +153,15 @@ def test_links_within_three_bits_are_all_found(spark):
     assert got == want
 
 
+def test_balls_of_fingerprints_are_not_broadcast(spark):
+    fps = store(spark.range(500).select(F.xxhash64("id").alias("fp")))
+    near = store(fps.union(fps.limit(5).select(F.col("fp").bitwiseXOR(F.lit(3)))))
+    links = simhash.fingerprint_links(near)
+    assert links.count() == 5
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 def test_components_of_a_long_chain(spark):
     links = [(k, k + 1) for k in range(200)] + [(500, 499), (7, 7), (600, 500)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
