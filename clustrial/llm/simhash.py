@@ -106,6 +106,9 @@ def near_duplicates(
     fingerprint 0. A missing id counts for no minimum; a component of such rows only has
     none. ``node`` names the component whatever its ids: where ids repeat, components may
     share a smallest id. Repeated rows come out as often as they go in.
+
+    The last join is told to merge: copies leave few bytes in the stored fingerprints, so
+    Spark could broadcast all rows.
     """
     stored = store(fingerprints(df, id_column, text_column, shingle), "fingerprints")
     nodes = store(stored.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
@@ -115,7 +118,7 @@ def near_duplicates(
     )
     named = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     table = grouped.join(named, "component").select("fp", "component_id", F.col("component").alias("node"))
-    return stored.join(table, "fp").select("doc_id", "text_hash", "fp", "component_id", "node")
+    return stored.join(table.hint("merge"), "fp").select("doc_id", "text_hash", "fp", "component_id", "node")
 
 
 def one_of_each(df: DataFrame, found: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -162,6 +162,15 @@ def test_balls_of_fingerprints_are_not_broadcast(spark):
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
 
 
+def test_rows_of_copies_are_not_broadcast(spark):
+    texts = [(k, " ".join(f"{k % 3}w{j}" for j in range(20))) for k in range(60)]
+    found = simhash.near_duplicates(documents(spark, texts))
+    assert sorted((r.doc_id, r.component_id) for r in found.collect()) == [(k, k % 3) for k in range(60)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin(\(skew=true\))? \[fp#\d+L\], \[fp#", plan)
+    assert not re.search(r"BroadcastHashJoin \[fp#\d+L\], \[fp#", plan)
+
+
 def test_components_of_a_long_chain(spark):
     links = [(k, k + 1) for k in range(200)] + [(500, 499), (7, 7), (600, 500)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
